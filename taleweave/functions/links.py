@@ -15,24 +15,27 @@ TABLE_OF_LETTER = {
 }
 
 
+# Blanks and the marks that clients escape a key with.
+_MARKS = " \t\r\n⟨⟩`'\"\\"
+
+
 def link_key(link: Column) -> Column:
     """Key of a link, without table, escapes, blanks and case; null and blank links give null."""
-    bare = F.lower(F.regexp_replace(link, r"[\s⟨⟩`'\"\\]|%(?:20|60)|%[eE]2%9[fF]%[aA][89]", ""))
-    bare = F.regexp_replace(bare, "%3a", ":")
-    key = F.substring_index(bare, ":", -1)
-    return F.when(F.length(key) > 0, key)
+    decoded = F.when(link.contains("%"), F.try_url_decode(link)).otherwise(link)
+    bare = F.translate(F.lower(decoded), _MARKS, "")
+    return F.nullif(F.substring_index(bare, ":", -1), F.lit(""))
 
 
 def canonical_link(link: Column) -> Column:
-    """``table:key`` of a link; the table follows from the key's letter, so a bare key is enough."""
-    key = link_key(link)
-    table = None
-    for letter, name in TABLE_OF_LETTER.items():
-        hit = key.startswith(letter)
-        table = F.when(hit, F.lit(name)) if table is None else table.when(hit, F.lit(name))
-    return F.concat_ws(":", table, key).alias("link") if table is None else F.when(
-        key.isNotNull(), F.concat_ws(":", table, key)
+    """``table:key`` of a link; the table follows from the key's letter, so a bare key is enough. A key
+    of another letter counts as one of ``unknown``."""
+    # One lookup by the first letter: a chain of conditions would evaluate the key anew in each.
+    names = F.create_map(*[F.lit(x) for pair in TABLE_OF_LETTER.items() for x in pair])
+    whole = F.transform(
+        F.array(link_key(link)),
+        lambda key: F.concat(F.coalesce(F.try_element_at(names, F.left(key, F.lit(1))), F.lit("unknown")), F.lit(":"), key),
     )
+    return whole[0]
 
 
 # The seven certainties of the ledger, in the schema's order.

@@ -17,10 +17,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
         canonical_certainty(F.col("certainty")).alias("payload"),
         F.col("id").alias("tie"),
     )
-    # Two snapshots of the ledger: what was entered at once, and what was entered late. They are
-    # merged by entity and time.
-    late = F.col("said_us") > F.col("at_us")
-    v = history.versions([knows.where(~late | late.isNull()), knows.where(late)])
+    v = history.versions([knows])
     pair = F.split("entity", r"\|")
     return v.select(
         pair[0].alias("in_id"), pair[1].alias("out_id"), F.col("payload").alias("certainty"), "valid_from_us", "valid_to_us"
