@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taleweave.llm import encodings, leakage, mixing
+from taleweave.llm import clusters, encodings, leakage, mixing, neighbours
 from taleweave.sources.tables import table
 
 
@@ -12,6 +12,27 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def _characters(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "characters")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.clusters(_characters(spark, sf)).select("id", "cluster_id")
+
+
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.describe(clusters.clusters(_characters(spark, sf)))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    n = neighbours.nearest(_characters(spark, sf))
+    return n.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_characters(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_spans(spark, sf).select("doc_id", "item_id").distinct()
 
@@ -38,6 +59,10 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_found": p1_found,
+        "p1_clusters": p1_clusters,
+        "p4_found": p4_found,
+        "p4_neighbours": p4_neighbours,
         "p7_found": p7_found,
         "p7_spans": p7_spans,
         "p8_draw": p8_draw,
