@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taleweave.llm import clusters, encodings, leakage, mixing, neighbours
+from taleweave.llm import clusters, encodings, leakage, mixing, names, neighbours
 from taleweave.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.describe(clusters.clusters(_characters(spark, sf)))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.variants(_characters(spark, sf))
+
+
+def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return names.entities(_characters(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     n = neighbours.nearest(_characters(spark, sf))
     return n.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
@@ -61,6 +69,8 @@ def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_clusters": p1_clusters,
+        "p3_found": p3_found,
+        "p3_entities": p3_entities,
         "p4_found": p4_found,
         "p4_neighbours": p4_neighbours,
         "p7_found": p7_found,
