@@ -33,6 +33,8 @@ LOCAL_ROWS, MOST_NODES, SAMPLE = 8_192, 4_096, 8_192
 BLOCK = 4_096
 #: Words in at least this share of the records without vectors come last in the order of the prefix filter.
 COMMON = 0.002
+#: Words of the records without vectors that are sent to all tasks as a filter (8 bytes each).
+FILTER_WORDS = 2_000_000
 
 
 class Tree:
@@ -233,19 +235,29 @@ def word_sets(rows: DataFrame) -> DataFrame:
     return rows.where("composite_text is not null").select("id", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
 
 
-def _prefix(ranked: dict[int, int], share: float):
-    """A word set's first words in the common order: two sets of which at least ``share`` of all words
-    are shared have one of these in common."""
+def _prefix(ranked: dict[int, int], share: float, wanted: np.ndarray | None = None):
+    """Each word set's first words in the common order, with their position (from 1) and the set's
+    size, as far as any partner could need them; ``brief`` marks those needed by a partner that is not
+    smaller."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out_id, out_word = b.column(0).to_pylist(), [], []
-            for key, words in zip(ids, b.column("words").to_pylist()):
-                n = len(words) - int(np.ceil(share * len(words) - 1e-9)) + 1
-                words = sorted(words, key=lambda w: (ranked.get(w, 0), w))
-                out_id += [key] * n
-                out_word += words[:n]
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.string()), pa.array(out_word, pa.int64())], names=["key", "word"])
+            keys, out, pos, size, brief = b.column(0).to_pylist(), ([], []), [], [], []
+            for key, words in zip(keys, b.column("words").to_pylist()):
+                n = len(words)
+                first = n - int(np.ceil(share * n - 1e-9)) + 1
+                fewer = n - int(np.ceil(2 * share / (1 + share) * n - 1e-9)) + 1
+                words = sorted(words, key=lambda w: (ranked.get(w, 0), w))[:first]
+                out[0].extend([key] * first)
+                out[1].extend(words)
+                pos.extend(range(1, first + 1))
+                size.extend([n] * first)
+                brief.extend([True] * fewer + [False] * (first - fewer))
+            found = pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(brief, pa.bool_())],
+                names=["key", "word", "pos", "size", "brief"],
+            )
+            yield found if wanted is None else found.filter(pa.array(np.isin(np.array(out[1], np.int64), wanted)))
 
     return go
 
@@ -291,10 +303,27 @@ def text_links(lacking: DataFrame, members: DataFrame, share: float) -> DataFram
     floor = max(2, int(COMMON * lacking.count()))
     # At most words-per-record / COMMON rows: the common words.
     ranked = {r["word"]: r["count"] for r in counted.where(F.col("count") >= floor).collect()}
-    pre = _prefix(ranked, share)
-    left = lacking.select("id", "words").mapInArrow(pre, "key string, word long")
-    right = members.select("part", "words").mapInArrow(pre, "key string, word long").distinct()
-    pairs = left.withColumnRenamed("key", "id").join(right.withColumnRenamed("key", "part"), "word").select("id", "part").distinct()
+    entry = "key string, word long, pos int, size int, brief boolean"
+    left = cut(lacking.select("id", "words").mapInArrow(_prefix(ranked, share), entry), "prefixes")
+    vocabulary = left.select("word").distinct()
+    wanted = None
+    if vocabulary.count() <= FILTER_WORDS:  # otherwise the join below does it
+        wanted = np.sort(vocabulary.toArrow().column("word").to_numpy())
+    right = members.select("part", "words").mapInArrow(_prefix(ranked, share, wanted), entry)
+    right = right.groupBy("key", "word", "size", "brief").agg(F.min("pos").alias("pos"))
+    x, y = left.alias("x"), right.alias("y")
+    # The words two sets must share, by their sizes; the first shared one comes early enough in both.
+    least = F.ceil(F.lit(share / (1 + share)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    early = (F.col("x.pos") <= F.col("x.size") - least + 1) & (F.col("y.pos") <= F.col("y.size") - least + 1)
+    enough = F.least(F.col("x.size"), F.col("y.size")) >= least
+    rare_x = F.col("x.brief") & (F.col("x.size") <= F.col("y.size"))
+    rare_y = F.col("y.brief") & (F.col("y.size") < F.col("x.size"))
+    on = (F.col("x.word") == F.col("y.word")) & early & enough
+    found = [
+        x.where("brief").join(y, on & rare_x).select(F.col("x.key").alias("id"), F.col("y.key").alias("part")),
+        x.join(y.where("brief"), on & rare_y).select(F.col("x.key").alias("id"), F.col("y.key").alias("part")),
+    ]
+    pairs = found[0].union(found[1]).distinct()
     pairs = cut(pairs, "pairs")
     sizes = members.join(pairs.select("part").distinct(), "part", "left_semi").groupBy("part").count()
     blocks = sizes.select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
