@@ -1,0 +1,28 @@
+"""Operations by name: ``run(spark, sf_dir, name, **parameters)`` gives a DataFrame."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from taleweave.plans.dialect import Duck, Spark
+from taleweave.plans.operations import OPS
+from taleweave.plans.world import raw_tables, with_views
+from taleweave.sources.tables import table
+
+
+def run(spark: SparkSession, sf_dir: str, name: str, **parameters) -> DataFrame:
+    """The operation's plan; nothing is executed yet. Only the tables it names are opened."""
+    sql = with_views(Spark(), OPS[name](Spark(), **parameters))
+    for t in raw_tables(sql):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def queries() -> dict:
+    return {name: partial(lambda spark, sf, n: run(spark, sf, n), n=name) for name in OPS}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(Duck(), f(Duck())) for name, f in OPS.items()}
