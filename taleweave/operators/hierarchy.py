@@ -63,8 +63,8 @@ def resolve(
     done = nodes.join(rooted.select("id"), "id", "left_anti").select(
         "id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), path.alias("path")
     )
-    # A fragment: from a node up to its exit, the next node to look at; frag is the path between.
-    open_ = rooted.select("id", F.col("parent").alias("exit"), F.lit(1).cast("long").alias("steps"), path.alias("frag"))
+    # A fragment: from a node up to its exit, the next node to look at; frag is the path between, low its smallest id.
+    open_ = rooted.select("id", F.col("parent").alias("exit"), F.lit(1).cast("long").alias("steps"), path.alias("frag"), F.col("id").alias("low"))
     levels: list[DataFrame] = []
     for round_ in range(max_rounds):
         open_ = cut(open_, f"open{round_}")
@@ -77,7 +77,7 @@ def resolve(
             placed = _placed(open_.join(exits, "id", "left_semi"), parts, round_).repartition(parts, "part")
         else:
             placed = open_.coalesce(1)
-        contracted = cut(placed.select("id", "exit", "steps", "frag").mapInPandas(_contract, FRAGMENT), f"contracted{round_}")
+        contracted = cut(placed.select("id", "exit", "steps", "frag", "low").mapInPandas(_contract, FRAGMENT), f"contracted{round_}")
         done = done.unionByName(
             contracted.where("cycle").select(
                 "id",
@@ -107,7 +107,7 @@ def resolve(
     return done if with_paths else done.drop("path")
 
 
-FRAGMENT = "id string, exit string, steps long, frag string, cycle boolean"
+FRAGMENT = "id string, exit string, steps long, frag string, low string, cycle boolean"
 
 
 def descendants(paths: DataFrame) -> DataFrame:
@@ -139,20 +139,22 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     here = np.arange(len(ids))
     nxt = np.where(step >= 0, step, here)
     dist, hops = np.where(step >= 0, steps, 0), (step >= 0).astype(np.int64)
+    names, own = np.unique(rows["low"].to_numpy(object), return_inverse=True)
+    least = own
     for _ in range(len(ids).bit_length() + 1):  # pointer doubling
-        dist, hops, nxt = dist + dist[nxt], hops + hops[nxt], nxt[nxt]
+        dist, hops, least, nxt = dist + dist[nxt], hops + hops[nxt], np.minimum(least, least[nxt]), nxt[nxt]
     looped = step[nxt] >= 0
     out, total = exits[nxt].copy(), dist + steps[nxt]
     frag = rows["frag"].to_numpy(object)
     if looped.any():
-        low = {}
-        for start in np.unique(nxt[looped]):
-            loop, at = [start], step[start]
-            while at != start and at not in low:
-                loop.append(at)
-                at = step[at]
-            least = low.get(at) or min(ids[i] for i in loop)
-            low.update(dict.fromkeys(loop, least))
+        low: dict[int, object] = {}
+        for start in np.unique(nxt[looped]):  # these lie on the cycles
+            if start not in low:
+                loop, at = [start], step[start]
+                while at != start:
+                    loop.append(at)
+                    at = step[at]
+                low.update(dict.fromkeys(loop, names[min(own[i] for i in loop)]))
         out[looped] = [low[i] for i in nxt[looped]]
         total[looped] = 0
     if frag[0] is not None:
@@ -160,4 +162,4 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in np.argsort(hops, kind="stable"):
             if step[i] >= 0 and not looped[i]:
                 frag[i] = f"{frag[step[i]]}/{frag[i]}"
-    yield pd.DataFrame({"id": ids, "exit": out, "steps": total, "frag": frag, "cycle": looped})
+    yield pd.DataFrame({"id": ids, "exit": out, "steps": total, "frag": frag, "low": names[least], "cycle": looped})

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from taleweave.functions.models import embed, tag_names
+from taleweave.operators.betweenness import centrality
 from taleweave.plans.dialect import Duck, Spark
 from taleweave.plans.operations import OPS
 from taleweave.plans.world import raw_tables, with_views
@@ -20,8 +22,52 @@ def run(spark: SparkSession, sf_dir: str, name: str, **parameters) -> DataFrame:
     return spark.sql(sql)
 
 
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact betweenness and closeness over the distinct directed edges of the world."""
+    views = with_views(Spark(), "SELECT in_id, out_id FROM edges_")
+    for t in raw_tables(views):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    edges = spark.sql(views)
+    return centrality(table(spark, sf_dir, "characters").select("id"), edges)
+
+
+def annotate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that the tagger finds in scene summaries, counted per name and label."""
+    scenes = table(spark, sf_dir, "scenes").where("summary is not null").select("id", "summary").distinct()
+    found = scenes.select("id", F.explode(tag_names("summary")).alias("t"))
+    return found.groupBy(F.col("t.text").alias("name"), F.col("t.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_scenes"))
+
+
+def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each character's text vector would move if they learnt the newest fact."""
+    c = table(spark, sf_dir, "characters").where("composite_text is not null").groupBy("id").agg(F.max("composite_text").alias("text"))
+    fact = table(spark, sf_dir, "knowledge").agg(F.max_by("fact", F.struct("created_at", "id")).alias("fact"))
+    both = c.crossJoin(F.broadcast(fact)).select("id", embed("text").alias("a"), embed(F.concat("text", F.lit(". Additionally, "), "fact")).alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    delta = F.round(1 - dot, 6)
+    label = F.when(delta < 0.02, "negligible").when(delta < 0.05, "slight").when(delta < 0.1, "moderate").when(delta < 0.2, "strong").otherwise("fundamental")
+    return both.select("id", delta.alias("delta"), label.alias("label"))
+
+
+def theme_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theme clusters by k-means over the vectors, k by the rule sqrt(n / 2)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    n = v.count()
+    if n < 3:
+        return spark.createDataFrame([], "cluster int, n long, labels string")
+    k = max(2, min(n - 1, -(-int((n / 2) ** 0.5 * 1000) // 1000)))
+    model = KMeans(k=k, maxIter=300, tol=1e-4, seed=42).fit(v)
+    return model.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"))
+
+
+PLAIN = {"betweenness": betweenness, "annotate_names": annotate_names, "what_if": what_if, "theme_kmeans": theme_kmeans}
+
+
 def queries() -> dict:
-    return {name: partial(lambda spark, sf, n: run(spark, sf, n), n=name) for name in OPS}
+    return {name: partial(lambda spark, sf, n: run(spark, sf, n), n=name) for name in OPS} | PLAIN
 
 
 def oracle_sql() -> dict[str, str]:
