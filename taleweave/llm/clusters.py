@@ -8,8 +8,8 @@
 3. Similarities between leaves are checked exactly: inside a node between all members that the
    leaves' radii leave possible, between nodes between medoids that share a posting list.
 4. Records without a vector are joined by the words they share with a record that has one: a prefix
-   filter finds the groups a record may belong to, and the shared words are counted by one matrix
-   product per group and block.
+   filter finds the groups a record may belong to, and the shared words are counted against the
+   members of these.
 5. Connected groups are the clusters.
 """
 
@@ -31,6 +31,8 @@ from taleweave.plans.shared import cut
 LOCAL_ROWS, MOST_NODES, SAMPLE = 8_192, 4_096, 8_192
 #: Members of a group that are compared with records without vectors in one task.
 BLOCK = 4_096
+#: Members that are compared one by one before the rest goes into a matrix product.
+TRIED = 8
 #: Words in at least this share of the records without vectors come last in the order of the prefix filter.
 COMMON = 0.002
 #: Words of the records without vectors that are sent to all tasks as a filter (8 bytes each).
@@ -264,38 +266,55 @@ def _prefix(ranked: dict[int, int], share: float, wanted: np.ndarray | None = No
 
 def _shared_words(share: float):
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: records without a vector, right: members of a block of a part."""
-        found: list[str] = []
-        if left.num_rows and right.num_rows:
-            lw, rw = left.column("words").to_pylist(), right.column("words").to_pylist()
-            vocab = {w: i for i, w in enumerate({w for ws in lw for w in ws})}
-            rn = np.array([len(set(ws)) for ws in rw], np.float32)
-            r_at = [[vocab[w] for w in ws if w in vocab] for ws in rw]
-            for lo in range(0, len(lw), 256):
-                some = lw[lo : lo + 256]
-                used = sorted({vocab[w] for ws in some for w in ws})
-                col = np.full(len(vocab), -1)
-                col[used] = np.arange(len(used))
-                a = np.zeros((len(some), len(used)), np.float32)
-                for i, ws in enumerate(some):
-                    a[i, col[[vocab[w] for w in ws]]] = 1
-                hit = np.zeros(len(some), bool)
-                for ro in range(0, len(rw), 512):
-                    b = np.zeros((min(512, len(rw) - ro), len(used)), np.float32)
-                    for j, at in enumerate(r_at[ro : ro + 512]):
-                        c = col[at]
-                        b[j, c[c >= 0]] = 1
-                    both = a @ b.T
-                    either = a.sum(axis=1)[:, None] + rn[ro : ro + 512][None, :] - both
-                    hit |= (both >= share * either - 1e-6).any(axis=1)
-                ids = left.column("id")[lo : lo + 256].to_pylist()
-                found += [i for i, h in zip(ids, hit) if h]
-        part = key[0].as_py() if hasattr(key[0], "as_py") else key[0]
-        return pa.table({"a": pa.array(found, pa.string()), "b": pa.array([part] * len(found), pa.string())})
+        """left: records without a vector and the parts each may belong to; right: members of parts."""
+        sets: dict[str, list[set]] = {}
+        for part, ws in zip(right.column("part").to_pylist(), right.column("words").to_pylist()):
+            sets.setdefault(part, []).append(set(ws))
+        waiting: dict[str, list[tuple[str, set]]] = {}
+        a, b = [], []
+        for key_, ws, parts in zip(left.column("id").to_pylist(), left.column("words").to_pylist(), left.column("parts").to_pylist()):
+            ws = set(ws)
+            for part in parts:
+                members = sets.get(part, ())
+                if any(_share(ws, m, share) for m in members[:TRIED]):
+                    a.append(key_)
+                    b.append(part)
+                elif len(members) > TRIED:
+                    waiting.setdefault(part, []).append((key_, ws))
+        for part, some in waiting.items():
+            hit = _any_shared([ws for _, ws in some], sets[part][TRIED:], share)
+            a += [k for (k, _), h in zip(some, hit) if h]
+            b += [part] * int(hit.sum())
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return go
 
 
+def _share(x: set, y: set, share: float) -> bool:
+    both = len(x & y)
+    return both >= share * (len(x) + len(y) - both) - 1e-6
+
+
+def _any_shared(left: list[set], right: list[set], share: float) -> np.ndarray:
+    """For each of ``left`` whether any of ``right`` shares enough, by matrix products."""
+    hit = np.zeros(len(left), bool)
+    for lo in range(0, len(left), 256):
+        some = left[lo : lo + 256]
+        at = {w: i for i, w in enumerate(set().union(*some))}
+        x = np.zeros((len(some), len(at)), np.float32)
+        for i, ws in enumerate(some):
+            x[i, [at[w] for w in ws]] = 1
+        for ro in range(0, len(right), 512):
+            part = right[ro : ro + 512]
+            y = np.zeros((len(part), len(at)), np.float32)
+            for j, ws in enumerate(part):
+                y[j, [at[w] for w in ws if w in at]] = 1
+            both = x @ y.T
+            either = x.sum(axis=1)[:, None] + np.array([len(ws) for ws in part], np.float32)[None, :] - both
+            hit[lo : lo + 256] |= (both >= share * either - 1e-6).any(axis=1)
+    return hit
+
+
 def text_links(lacking: DataFrame, members: DataFrame, share: float) -> DataFrame:
     """Links (a: record without a vector, b: part) where the record shares at least ``share`` of all
     distinct words with a member of the part. ``lacking``: id, words. ``members``: id, part, words."""
@@ -326,12 +345,15 @@ def text_links(lacking: DataFrame, members: DataFrame, share: float) -> DataFram
     pairs = found[0].union(found[1]).distinct()
     pairs = cut(pairs, "pairs")
     sizes = members.join(pairs.select("part").distinct(), "part", "left_semi").groupBy("part").count()
-    blocks = sizes.select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    lhs = (
-        pairs.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(lacking, "id").select("part", "block", "id", "words")
-    )
-    rhs = members.join(blocks, "part").select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "words")
-    return lhs.groupBy("part", "block").cogroup(rhs.groupBy("part", "block")).applyInArrow(_shared_words(share), "a string, b string")
+    blocks = cut(sizes.select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "count"), "sizes")
+    # Buckets of about BLOCK members: small parts share one, a large part is spread over several.
+    total = blocks.agg(F.sum("count")).first()[0] or 0
+    buckets = max(1, -(-int(total) // BLOCK))
+    bucket = F.pmod(F.xxhash64("part", "block"), F.lit(buckets)).cast("int").alias("bucket")
+    spread = pairs.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lhs = spread.select("id", "part", bucket).groupBy("bucket", "id").agg(F.collect_set("part").alias("parts")).join(lacking, "id")
+    rhs = members.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(bucket, "part", "words")
+    return lhs.groupBy("bucket").cogroup(rhs.groupBy("bucket")).applyInArrow(_shared_words(share), "a string, b string")
 
 
 def clusters(rows: DataFrame, least: float = 0.7, share: float = 0.7, dims: int = 384, smallest: int = 3, local_rows: int = LOCAL_ROWS, seed: int = 11) -> DataFrame:
@@ -378,7 +400,7 @@ def clusters(rows: DataFrame, least: float = 0.7, share: float = 0.7, dims: int
     members = cut(texts.join(with_vector, "id"), "members")
     by_text = text_links(lacking, members, share)
     links = by_text if links is None else links.unionByName(by_text)
-    groups = components(links.distinct())
+    groups = components(cut(links.distinct(), "partlinks"))
     alone = found.select("id", "part", "typical", "leaf")
     nodes = alone.join(groups.withColumnRenamed("node", "part"), "part", "left").select(
         "id", F.coalesce("component", "part").alias("component"), "typical", "leaf"
