@@ -10,6 +10,7 @@ from taleweave.functions.models import embed, tag_names
 from taleweave.operators.betweenness import centrality
 from taleweave.plans.dialect import Duck, Spark
 from taleweave.plans.operations import OPS
+from taleweave.plans import upkeep_operations  # noqa: F401 - registers its operations
 from taleweave.plans.world import raw_tables, with_views
 from taleweave.sources.tables import table
 
