@@ -6,7 +6,7 @@
 2. Each node then is one bounded task, which goes on splitting until a leaf is compact: every member
    has at least the asked cosine to the leaf's medoid, so a leaf is joined by true similarities.
 3. Similarities between leaves are checked exactly: inside a node between all members that the
-   leaves' radii leave possible, between nodes between medoids that share a posting list.
+   leaves' radii leave possible, between nodes between medoids and loosely tied members that share a posting list.
 4. Records without a vector are joined by the words they share with a record that has one: a prefix
    filter finds the groups a record may belong to, and the shared words are counted against the
    members of these.
@@ -29,8 +29,12 @@ from taleweave.plans.shared import cut
 
 #: Vectors of a node that one task splits further, nodes split by passes over all vectors, sample for first centres.
 LOCAL_ROWS, MOST_NODES, SAMPLE = 8_192, 4_096, 8_192
+#: Members with a lower cosine to their medoid take part in the check between nodes, as medoids do.
+TIED = 0.8
 #: Members of a group that are compared with records without vectors in one task.
 BLOCK = 4_096
+#: Words of their prefixes that a record and a part must have in common; the prefixes are longer for it.
+COMMON_WORDS = 3
 #: Members that are compared one by one before the rest goes into a matrix product.
 TRIED = 8
 #: Words in at least this share of the records without vectors come last in the order of the prefix filter.
@@ -196,17 +200,19 @@ def _local(least: float, dims: int, seed: int):
         for i in range(n):
             g = sets.find(int(leaf[i]))
             low[g] = min(low.get(g, ids[i]), ids[i])
-        medoid = np.zeros(n, bool)
-        medoid[[m for _, m, _ in leaves]] = True
-        vec = pack(raw[medoid])
-        where = np.cumsum(medoid) - 1
+        sent = np.zeros(n, bool)  # what the check between nodes sees of a leaf
+        for at, m, _ in leaves:
+            sent[at[x[at] @ x[m] < TIED]] = True
+            sent[m] = True
+        vec = pack(raw[sent])
+        where = np.cumsum(sent) - 1
         return pa.table(
             {
                 "id": pa.array(ids, pa.string()),
                 "part": pa.array([low[sets.find(int(k))] for k in leaf], pa.string()),
                 "leaf": pa.array([ids[leaves[k][1]] for k in leaf], pa.string()),
                 "typical": pa.array(typical, pa.float64()),
-                "vec": vec.take(pa.array(np.where(medoid, where, 0), mask=~medoid)),
+                "vec": vec.take(pa.array(np.where(sent, where, 0), mask=~sent)),
             }
         )
 
@@ -241,25 +247,33 @@ def _prefix(ranked: dict[int, int], share: float, wanted: np.ndarray | None = No
     """Each word set's first words in the common order, with their position (from 1) and the set's
     size, as far as any partner could need them; ``brief`` marks those needed by a partner that is not
     smaller."""
+    common = np.array(sorted(ranked), np.int64)
+    counts = np.array([ranked[w] for w in common.tolist()], np.int64)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, out, pos, size, brief = b.column(0).to_pylist(), ([], []), [], [], []
-            for key, words in zip(keys, b.column("words").to_pylist()):
-                n = len(words)
-                first = n - int(np.ceil(share * n - 1e-9)) + 1
-                fewer = n - int(np.ceil(2 * share / (1 + share) * n - 1e-9)) + 1
-                words = sorted(words, key=lambda w: (ranked.get(w, 0), w))[:first]
-                out[0].extend([key] * first)
-                out[1].extend(words)
-                pos.extend(range(1, first + 1))
-                size.extend([n] * first)
-                brief.extend([True] * fewer + [False] * (first - fewer))
-            found = pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(brief, pa.bool_())],
+            column = b.column("words")
+            size = np.diff(column.offsets.to_numpy())
+            words = column.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            rank = np.zeros(len(words), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+                rank = np.where(common[at] == words, counts[at], 0)
+            order = np.lexsort((words, rank, row))
+            words, pos = words[order], np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size) + 1
+            n = size[row]
+            first = n - np.ceil(share * n - 1e-9).astype(np.int64) + COMMON_WORDS
+            brief = pos <= n - np.ceil(2 * share / (1 + share) * n - 1e-9).astype(np.int64) + COMMON_WORDS
+            keep = pos <= first
+            if wanted is not None and len(wanted):
+                at = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
+                keep &= wanted[at] == words
+            keys = b.column("key").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[keep]), pa.array(words[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(brief[keep])],
                 names=["key", "word", "pos", "size", "brief"],
             )
-            yield found if wanted is None else found.filter(pa.array(np.isin(np.array(out[1], np.int64), wanted)))
 
     return go
 
@@ -322,37 +336,41 @@ def text_links(lacking: DataFrame, members: DataFrame, share: float) -> DataFram
     floor = max(2, int(COMMON * lacking.count()))
     # At most words-per-record / COMMON rows: the common words.
     ranked = {r["word"]: r["count"] for r in counted.where(F.col("count") >= floor).collect()}
-    entry = "key string, word long, pos int, size int, brief boolean"
-    left = cut(lacking.select("id", "words").mapInArrow(_prefix(ranked, share), entry), "prefixes")
+    # Ids and parts are counted by their hashes; should two agree, a comparison too many is made below.
+    entry = "key long, word long, pos int, size int, brief boolean"
+    left = cut(lacking.select(F.xxhash64("id").alias("key"), "words").mapInArrow(_prefix(ranked, share), entry), "prefixes")
     vocabulary = left.select("word").distinct()
     wanted = None
     if vocabulary.count() <= FILTER_WORDS:  # otherwise the join below does it
         wanted = np.sort(vocabulary.toArrow().column("word").to_numpy())
-    right = members.select("part", "words").mapInArrow(_prefix(ranked, share, wanted), entry)
+    right = members.select(F.xxhash64("part").alias("key"), "words").mapInArrow(_prefix(ranked, share, wanted), entry)
     right = right.groupBy("key", "word", "size", "brief").agg(F.min("pos").alias("pos"))
     x, y = left.alias("x"), right.alias("y")
-    # The words two sets must share, by their sizes; the first shared one comes early enough in both.
+    # The words two sets must share, by their sizes; the first of them come early enough in both.
     least = F.ceil(F.lit(share / (1 + share)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
-    early = (F.col("x.pos") <= F.col("x.size") - least + 1) & (F.col("y.pos") <= F.col("y.size") - least + 1)
+    early = (F.col("x.pos") <= F.col("x.size") - least + COMMON_WORDS) & (F.col("y.pos") <= F.col("y.size") - least + COMMON_WORDS)
     enough = F.least(F.col("x.size"), F.col("y.size")) >= least
     rare_x = F.col("x.brief") & (F.col("x.size") <= F.col("y.size"))
     rare_y = F.col("y.brief") & (F.col("y.size") < F.col("x.size"))
     on = (F.col("x.word") == F.col("y.word")) & early & enough
+    # The join leaves each word in one place, so words are made distinct there, before pairs are counted.
     found = [
-        x.where("brief").join(y, on & rare_x).select(F.col("x.key").alias("id"), F.col("y.key").alias("part")),
-        x.join(y.where("brief"), on & rare_y).select(F.col("x.key").alias("id"), F.col("y.key").alias("part")),
+        f.groupBy(F.col("x.key").alias("id_h"), F.col("y.key").alias("part_h"), F.col("x.word").alias("word")).agg(F.min(least).alias("least"))
+        for f in (x.where("brief").join(y, on & rare_x), x.join(y.where("brief"), on & rare_y))
     ]
-    pairs = found[0].union(found[1]).distinct()
-    pairs = cut(pairs, "pairs")
-    sizes = members.join(pairs.select("part").distinct(), "part", "left_semi").groupBy("part").count()
-    blocks = cut(sizes.select("part", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "count"), "sizes")
+    met = found[0].union(found[1]).groupBy("id_h", "part_h").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    pairs = cut(met.where(F.col("n") >= F.least(F.lit(COMMON_WORDS), F.col("least"))).select("id_h", "part_h"), "pairs")
+    members = members.withColumn("part_h", F.xxhash64("part"))
+    sizes = members.join(pairs.select("part_h").distinct(), "part_h", "left_semi").groupBy("part", "part_h").count()
+    blocks = cut(sizes.select("part", "part_h", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "count"), "sizes")
     # Buckets of about BLOCK members: small parts share one, a large part is spread over several.
     total = blocks.agg(F.sum("count")).first()[0] or 0
     buckets = max(1, -(-int(total) // BLOCK))
     bucket = F.pmod(F.xxhash64("part", "block"), F.lit(buckets)).cast("int").alias("bucket")
-    spread = pairs.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lhs = spread.select("id", "part", bucket).groupBy("bucket", "id").agg(F.collect_set("part").alias("parts")).join(lacking, "id")
-    rhs = members.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(bucket, "part", "words")
+    spread = pairs.join(blocks, "part_h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lhs = spread.select("id_h", "part", bucket).groupBy("bucket", "id_h").agg(F.collect_set("part").alias("parts"))
+    lhs = lhs.join(lacking.withColumn("id_h", F.xxhash64("id")), "id_h").select("bucket", "id", "words", "parts")
+    rhs = members.join(blocks.drop("part_h"), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(bucket, "part", "words")
     return lhs.groupBy("bucket").cogroup(rhs.groupBy("bucket")).applyInArrow(_shared_words(share), "a string, b string")
 
 
