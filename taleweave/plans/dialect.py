@@ -20,6 +20,10 @@ class Spark:
 
 
     def key(self, c): return f"substring_index(translate(lower({c}), ' ⟨⟩`', ''), ':', -1)"
+    def link(self, c, tables):
+        # A lookup instead of a case per table keeps the generated code small.
+        names = ", ".join(f"'{a}', '{t}:'" for a, t in tables.items())
+        return f"try_element_at(map({names}), left({self.key(c)}, 1)) || {self.key(c)}"
     def hex(self, c): return f"cast(conv({c}, 16, 10) AS BIGINT)"
     def month(self, c): return f"date_format({c}, 'yyyy-MM')"
     def micros(self, c): return f"unix_micros(cast({c} AS TIMESTAMP))"
@@ -55,6 +59,9 @@ class Duck(Spark):
     double = r"cast(\1 AS DOUBLE)"
 
     def key(self, c): return f"string_split(replace(replace(replace(replace(lower({c}), ' ', ''), '⟨', ''), '⟩', ''), '`', ''), ':')[-1]"
+    def link(self, c, tables):
+        cases = " ".join(f"WHEN '{a}' THEN '{t}:'" for a, t in tables.items())
+        return f"CASE left({self.key(c)}, 1) {cases} END || {self.key(c)}"
     def hex(self, c): return f"('0x' || {c})::BIGINT"
     def month(self, c): return f"strftime({c}, '%Y-%m')"
     def micros(self, c): return f"epoch_us({c})"
