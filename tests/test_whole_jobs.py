@@ -42,3 +42,13 @@ def test_timeline_violations(spark, world):
     )
     assert [(r.id, r.in_id, r.event_id, r.gap) for r in run(spark, sf, "timeline_violations").collect()] == [("knows:w3", a, "event:e3", 10)]
     assert [tuple(r) for r in run(spark, sf, "entity_validation").where("check_name = 'timeline'").collect()] == [(a, "timeline", 1)]
+
+
+def test_location_current_takes_every_spelling(spark, world):
+    links = ["location:l00000001", "l00000002", "Location:l00000003", "location:⟨l00000004⟩", " location:l00000005", "location:L0000000A", "l00000099"]
+    places = ["location:l00000001", "location:l00000002", "location:l00000003", "location:l00000004", "location:l00000005", "location:l0000000a"]
+    sf = world(
+        locations=[{"id": p, "name": "old", "loc_type": "town", "updated_at": day(1)} for p in places],
+        location_updates=[{"location_id": x, "name": "new", "fields_set": ["name"], "updated_at": day(2)} for x in links],
+    )
+    assert sorted(tuple(r) for r in run(spark, sf, "location_current").collect()) == [(p, "new", "town") for p in places]
