@@ -4,7 +4,9 @@ from datetime import datetime
 
 import pytest
 
+from taleweave.plans.dialect import Spark
 from taleweave.plans.registry import run
+from taleweave.plans.world import with_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +54,15 @@ def test_location_current_takes_every_spelling(spark, world):
         location_updates=[{"location_id": x, "name": "new", "fields_set": ["name"], "updated_at": day(2)} for x in links],
     )
     assert sorted(tuple(r) for r in run(spark, sf, "location_current").collect()) == [(p, "new", "town") for p in places]
+
+
+def test_knowledge_at_event_for_all_witnesses(spark):
+    got = sorted(tuple(r) for r in run(spark, SF, "knowledge_at_event").collect())
+    rows = spark.sql(with_views(Spark(), "SELECT k.*, e.created_at AS at FROM knows_ k LEFT JOIN events_ e ON e.id = k.event_id")).collect()
+    want = set()
+    for c, event, at in {(r.in_id, r.event_id, r.at) for r in rows if r.method == "witnessed" and r.at}:
+        held = {}
+        for r in sorted((r for r in rows if r.in_id == c and r.certainty and r.learned_at <= at), key=lambda r: (r.learned_at, r.created_at, r.id)):
+            held[r.out_id] = r.certainty
+        want |= {(c, event, target, certainty) for target, certainty in held.items()}
+    assert len({r[0] for r in got}) > 2 and got == sorted(want)
