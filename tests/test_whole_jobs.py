@@ -66,3 +66,17 @@ def test_knowledge_at_event_for_all_witnesses(spark):
             held[r.out_id] = r.certainty
         want |= {(c, event, target, certainty) for target, certainty in held.items()}
     assert len({r[0] for r in got}) > 2 and got == sorted(want)
+
+
+def test_theme_clusters_measure_from_the_mean(spark):
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect():
+        labels.setdefault(r.label, []).append((r.vec_id, r.embedding))
+    want = {}
+    for label, members in labels.items():
+        centre = [sum(xs) / len(members) for xs in zip(*(v for _, v in members))]
+        dist = {i: sum((x - y) ** 2 for x, y in zip(v, centre)) ** 0.5 for i, v in members}
+        want[label] = (len(members), min(dist, key=lambda i: (dist[i], i)), sum(1 / (1 + x) for x in dist.values()) / len(members))
+    got = {r.label: (r.n, r.most_central, r.centrality) for r in run(spark, SF, "theme_clusters").collect()}
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert all(abs(got[k][2] - want[k][2]) < 2e-6 for k in want)
