@@ -6,7 +6,7 @@ import pytest
 
 from taleweave.plans.dialect import Spark
 from taleweave.plans.registry import run
-from taleweave.plans.world import with_views
+from taleweave.plans.world import raw_tables, with_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +80,62 @@ def test_theme_clusters_measure_from_the_mean(spark):
     got = {r.label: (r.n, r.most_central, r.centrality) for r in run(spark, SF, "theme_clusters").collect()}
     assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
     assert all(abs(got[k][2] - want[k][2]) < 2e-6 for k in want)
+
+
+def rows_of(spark, sql):
+    for t in raw_tables(whole := with_views(Spark(), sql)):
+        spark.read.parquet(f"{SF}/{t}.parquet").createOrReplaceTempView(t)
+    return [tuple(r) for r in spark.sql(whole).collect()]
+
+
+def walks(near, path, hops):
+    """All simple paths on from ``path`` of at most ``hops`` further steps."""
+    if len(path) > 1:
+        yield path
+    if hops:
+        for x in near.get(path[-1], set()) - set(path):
+            yield from walks(near, (*path, x), hops - 1)
+
+
+def by_start(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    return near
+
+
+def test_connection_paths_of_three_hops_and_shared_events(spark):
+    (start,), (end,) = rows_of(spark, "SELECT id FROM focus_ UNION ALL SELECT id FROM other_")
+    seen = rows_of(spark, "SELECT in_id, out_id FROM perceives_")
+    witnesses = by_start(rows_of(spark, "SELECT out_id, in_id FROM involved_"))
+    told = {(a, b) for a, b in seen} | {(b, a) for a, b in seen}
+    shared = {(a, b) for who in witnesses.values() for a in who for b in who if a != b}
+    for events, edges in ((True, told | shared), (False, told)):
+        want = sorted((len(p) - 1, ">".join(p)) for p in walks(by_start(edges), (start,), 3) if p[-1] == end)
+        more = {} if events else {"include_events": False}
+        assert sorted((r.hops, r.path) for r in run(spark, SF, "connection_paths", **more).collect()) == want
+        assert max(h for h, _ in want) == 3
+
+
+def test_influence_and_impact_of_three_hops(spark):
+    ((start,),) = rows_of(spark, "SELECT id FROM focus_")
+    scale = {"mentor": 1.0, "family": 1.0, "ally": 0.9, "friend": 0.9, "professional": 0.7, "rival": 0.4}
+    factor = {(a, b): (0.7 if (t or 0) >= 7 else 1.0) * scale.get(kind, 0.85) for a, b, t, kind in rows_of(spark, "SELECT in_id, out_id, tension, rel_type FROM perceives_")}
+    best = {}
+    for p in walks(by_start(factor), (start,), 3):
+        strength = {1: 1.0, 2: 0.6, 3: 0.3}[len(p) - 1]
+        for pair in zip(p, p[1:]):
+            strength *= factor[pair]
+        # The fewest hops, then the strongest.
+        best[p[-1]] = max(best.get(p[-1], (-9, 0.0)), (1 - len(p), strength))
+    got = {r.id: (-r.hops, r.strength, r.label) for r in run(spark, SF, "influence").collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in best.items()}
+    assert all(abs(got[k][1] - best[k][1]) < 2e-6 for k in best) and {v[2] for v in got.values()} == {"direct", "likely", "possible"}
+
+    edges = rows_of(spark, "SELECT in_id, out_id FROM edges_")
+    near, hops, level = by_start(edges + [(b, a) for a, b in edges]), {start: 0}, {start}
+    for h in (1, 2, 3):
+        level = {b for a in level for b in near.get(a, ())} - hops.keys()
+        hops |= dict.fromkeys(level, h)
+    want = {(h, n, s) for h, s in ((1, "high"), (2, "medium"), (3, "low")) if (n := sum(x == h for x in hops.values()))}
+    assert {(r.hops, r.n, r.severity) for r in run(spark, SF, "impact").collect()} == want and len(want) == 3
