@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +34,6 @@ AGES = {"elder", "younger"}
 
 #: Least cosine of two cores, edits of two names, least average similarity within an entity.
 CORES, EDITS, LINKAGE = 0.35, 2, 0.4
-#: Names of one group that average linkage takes at once; larger groups are joined by their strong links alone.
-GROUP = 1_500
 
 _TOKEN = regex.compile(r"[\p{L}\p{N}]+\.?")
 
@@ -187,44 +186,100 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["x", "y", "s"])
 
 
-def _against(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> float:
-    """0 where two names tell two persons apart; unknown (nan) where they say nothing of each other:
-    a short form beside a name it does not shorten, or an alias beside spellings of the true name."""
-    if a[0] == b[0] and a[3] == b[3] and (short(a[2]) or short(b[2]) or edits(a[1], b[1]) > EDITS):
-        return float("nan")
-    return 0.0
+def _deletions(text: str) -> set[str]:
+    """``text`` with up to EDITS letters left out: texts within EDITS edits have one of these in common."""
+    out = last = {text}
+    for _ in range(EDITS):
+        last = {t[:i] + t[i + 1:] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
+def _meeting(keys: dict) -> set[tuple]:
+    """Pairs (smaller first) of those that have a key in common."""
+    by: dict = {}
+    for v, ks in keys.items():
+        for k in ks:
+            by.setdefault(k, []).append(v)
+    return {(v, o) if v < o else (o, v) for vs in by.values() for v in vs for o in vs if v != o}
+
+
+def _given_keys(kind: str, given: str) -> set[str]:
+    """Names of similar cores can be similar only if they have one of these in common."""
+    if kind:
+        return {""}
+    if short(given):
+        return {"=" + given, "=" + given[:1]}
+    pets = (given[:1], given[:4], given[-4:], given[:3] + "kin", given[:3].rstrip("aeiou") + "y", given[:3] + "y")
+    return {"=" + p for p in pets} | _deletions(given)
+
+
+def _alike(parsed: list[tuple[str, str, str, str]], near: set[tuple[str, str]]) -> Iterator[tuple[int, int, float]]:
+    """All pairs of places whose similarity is above 0, without a look at the others."""
+    by: dict = {}
+    for i, (kind, core, given, number) in enumerate(parsed):
+        for k in _given_keys(kind, given):
+            by.setdefault((kind, number, core), {}).setdefault(k, []).append(i)
+    cores = {c: {c} for _, c, _, _ in parsed}
+    for x, y in near:
+        cores[x].add(y)
+    for (kind, number, core), keys in by.items():
+        seen = {(i, j) for o in cores[core] for k, js in by.get((kind, number, o), {}).items() for i in keys.get(k, ()) for j in js}
+        for i, j in seen:
+            # Cores in order are looked up once, a core beside itself from both ends.
+            if (i < j or core != parsed[j][1]) and i != j and (v := similarity(parsed[i], parsed[j])) > 0:
+                yield min(i, j), max(i, j), v
 
 
 def _linkage(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage within one group of names (component, node, and the known pairs as lists)."""
+    """Average linkage within one group of names (component, node, and the known pairs as lists), of any size.
+
+    A pair of names counts 0 where they tell two persons apart, and not at all where they say nothing of
+    each other: a short form beside a name it does not shorten, or an alias beside spellings of the true
+    name. Only groups with a similar pair are held; how many of the other pairs count is found when two
+    groups merge. Similarities are whole twentieths, so sums are exact and ties go to the first names.
+    """
     nodes = sorted(pdf["node"])
-    n = len(nodes)
-    if n > GROUP:
-        return pd.DataFrame({"node": nodes, "entity": pdf["component"].iloc[0]})
     place = {v: i for i, v in enumerate(nodes)}
-    s = np.eye(n)
     parsed = [tuple(v.split("|")) for v in nodes]
-    for i in range(n):
-        for j in range(i + 1, n):
-            s[i, j] = s[j, i] = similarity(parsed[i], parsed[j]) or _against(parsed[i], parsed[j])
+    near = {p for p in _meeting({c: _deletions(c) for c in {p[1] for p in parsed}}) if edits(*p) <= EDITS}
+    near |= {(y, x) for x, y in near}
+    #: Of two groups, by their first names: twentieths, and the pairs that count.
+    sums: list[dict[int, tuple[int, int]]] = [{} for _ in nodes]
+    for i, j, v in _alike(parsed, near):
+        sums[i][j] = sums[j][i] = (round(20 * v), 1)
     for v, others in zip(pdf["node"], pdf["known"]):
         for o in others if others is not None else ():
-            if o in place:
-                s[place[v], place[o]] = s[place[o], place[v]] = 1.0
-    groups = [[i] for i in range(n)]
-    while len(groups) > 1:
-        best, pair = LINKAGE, None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                between = s[np.ix_(groups[a], groups[b])]
-                told = ~np.isnan(between)
-                mean = between[told].mean() if told.any() else 0.0
-                if mean > best:
-                    best, pair = mean, (a, b)
-        if pair is None:
-            break
-        groups[pair[0]] += groups.pop(pair[1])
-    entity = {nodes[i]: nodes[min(g)] for g in groups for i in g}
+            if o in place and o != v:
+                sums[place[v]][place[o]] = sums[place[o]][place[v]] = (20, 1)
+    groups = {i: [i] for i in range(len(nodes))}
+    silent = [short(p[2]) for p in parsed]
+
+    def counting(x: int, y: int) -> int:
+        n = 0
+        for i in groups[x]:
+            a = parsed[i]
+            for j in groups[y]:
+                b = parsed[j]
+                n += a[0] != b[0] or a[3] != b[3] or not (silent[i] or silent[j] or (a[1] != b[1] and (a[1], b[1]) not in near))
+        return n
+
+    heap = [(-t / n, i, j, t, n) for i, row in enumerate(sums) for j, (t, n) in row.items() if i < j and t > 20 * LINKAGE * n]
+    heapq.heapify(heap)
+    while heap:
+        _, x, y, *was = heapq.heappop(heap)
+        if x not in groups or y not in groups or sums[x].get(y) != tuple(was):
+            continue
+        for c in (sums[x].keys() | sums[y].keys()) - {x, y}:
+            (t, n), (u, m) = (sums[g].get(c) or (0, counting(g, c)) for g in (x, y))
+            sums[x][c] = sums[c][x] = (t + u, n + m)
+            sums[c].pop(y, None)
+            if t + u > 20 * LINKAGE * (n + m):
+                heapq.heappush(heap, (-(t + u) / (n + m), min(x, c), max(x, c), t + u, n + m))
+        sums[x].pop(y)
+        sums[y] = {}
+        groups[x] += groups.pop(y)
+    entity = {nodes[i]: nodes[g] for g, members in groups.items() for i in members}
     return pd.DataFrame({"node": nodes, "entity": [entity[v] for v in nodes]})
 
 

@@ -1,3 +1,7 @@
+import random
+
+import pandas as pd
+
 from taleweave.llm import names
 
 
@@ -37,3 +41,53 @@ def test_similar_cores_are_all_found(spark):
     got = {(r.core, r.other) for r in names.similar_cores(spark.createDataFrame([(c,) for c in cores], "core string")).collect()}
     assert {("dilvarirlar", "dilvarirlr"), ("dilvarirlar", "dilvrairlar"), ("kantonkankar", "kantoncankar")} <= got and ("dilvarirlar", "malmelbosbol") not in got
     assert {(b, a) for a, b in got} == got
+
+
+def test_a_large_chain_is_cut_like_a_small_one():
+    # Each given name differs from the one before in one letter: neighbours are alike, the ends are not.
+    rng, given, chain = random.Random(1), list("abcdefghijkl"), []
+    for i in range(2_000):
+        given[i % 12] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        chain.append("".join(given))
+    nodes = sorted({f"|malmelbosbol|{g}|" for g in chain})
+    assert len(nodes) > 1_500
+
+    def grouped(part):
+        got = names._linkage(pd.DataFrame({"component": "x", "node": part, "known": None}))
+        return got.groupby("entity")["node"].apply(list).tolist()
+
+    groups = grouped(nodes)
+    assert 1 < len(groups) and max(map(len, groups)) < 20
+    # Each entity holds by itself: average linkage of its names alone joins them all.
+    assert all(len(grouped(g)) == 1 for g in groups)
+
+
+def test_linkage_equals_all_pairs():
+    rng = random.Random(3)
+    letters = "abcd"
+    for _ in range(15):
+        cores = ["".join(rng.choice(letters) for _ in range(8)) for _ in range(2)]
+        slip = lambda t: t if rng.random() < 0.4 else (lambda i: t[:i] + rng.choice(letters) + t[i + 1:])(rng.randrange(len(t)))
+        nodes = sorted({f"|{slip(slip(rng.choice(cores)))}|{rng.choice(['koralia', 'koralai', 'kor', 'k', 'korkin', 'damamira', ''])}|" for _ in range(30)})
+        parsed = [tuple(n.split("|")) for n in nodes]
+        value = {}
+        for i, a in enumerate(parsed):
+            for j, b in enumerate(parsed):
+                v = names.similarity(a, b)
+                if v or not (names.short(a[2]) or names.short(b[2]) or names.edits(a[1], b[1]) > names.EDITS):
+                    value[i, j] = round(20 * v)
+        groups = [[i] for i in range(len(nodes))]
+        while True:
+            found = []
+            for x in range(len(groups)):
+                for y in range(x + 1, len(groups)):
+                    told = [value[i, j] for i in groups[x] for j in groups[y] if (i, j) in value]
+                    if told and sum(told) > 8 * len(told):
+                        found.append((-sum(told) / len(told), x, y))
+            if not found:
+                break
+            _, x, y = min(found)
+            groups[x] += groups.pop(y)
+        got = names._linkage(pd.DataFrame({"component": "x", "node": nodes, "known": None}))
+        want = {nodes[i]: nodes[g[0]] for g in groups for i in g}
+        assert dict(zip(got["node"], got["entity"])) == want
