@@ -5,8 +5,9 @@
    node; only these sums reach the driver.
 2. Each node then is one bounded task, which goes on splitting until a leaf is compact: every member
    has at least the asked cosine to the leaf's medoid, so a leaf is joined by true similarities.
-3. Similarities between leaves are checked exactly: inside a node between all members that the
-   leaves' radii leave possible, between nodes between medoids and loosely tied members that share a posting list.
+3. Similarities between leaves are checked exactly inside a node, between all members that the leaves'
+   radii leave possible. Between nodes (above ``LOCAL_ROWS`` vectors) only medoids and loosely tied members
+   that share a posting list are compared, so a link of closely tied members can be missed.
 4. Records without a vector are joined by the words they share with a record that has one: a prefix
    filter finds the groups a record may belong to, and the shared words are counted against the
    members of these.
