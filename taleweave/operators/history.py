@@ -1,9 +1,9 @@
 """History of changing attributes: closed versions with their periods of validity.
 
 Snapshots and updates of the same entities are brought into one order (entity, time) by a range
-exchange: every snapshot is split at the same bounds and its part is key-sorted, and the sort merges
-the sorted runs of all snapshots as iterators (spilling runs to disk, never holding an entity in
-memory). One pass over each sorted part closes a version where the payload changes.
+exchange over their union, and Spark sorts each part, merging its own sorted runs as iterators (spilling
+them to disk, never holding an entity in memory). This stands in for a k-way merge of key-sorted
+snapshots: the exchange leaves no order to merge by. One pass over each sorted part closes a version where the payload changes.
 
 A range exchange over (entity, time) also splits an entity that holds a third of all rows over many
 tasks. What crosses a part's edge is settled from one row per part: the part's first and last state.
