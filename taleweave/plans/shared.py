@@ -1,7 +1,7 @@
 """Cutting lineage through the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset, as in local tests, a
-folder of this process is used and entered into the session's configuration.
+``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset and everything runs in this
+process, as in local tests, a folder of this process is used and entered into the session's configuration.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not d:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="taleweave-")
         spark.conf.set(_KEY, d)
     return d.rstrip("/")
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the plan above starts from
-    files that survive the loss of any executor. The files go when the process ends."""
+    files that survive the loss of any executor. The files go with ``clear`` or when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/taleweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -41,8 +43,10 @@ def drop(df_path: str, spark: SparkSession) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Delete all tables that ``cut`` has written so far: for long sessions, once their results are stored."""
+    while _written:
+        spark, path = _written.pop()
         try:
             drop(path, spark)
         except Exception:  # noqa: BLE001 - the session may be gone already

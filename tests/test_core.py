@@ -119,9 +119,10 @@ def test_orphans(spark, monkeypatch):
     assert orphans.orphan_references(df.limit(0), states).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("base", [200_000, 5])
+def test_components(spark, base):
     links = [(f"p{i:02}", f"p{i + 1:02}") for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "x"), ("x", None)] + [("hub", f"s{i}") for i in range(40)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a string, b string").repartition(4), base_links=base).collect()}
     assert got["p30"] == "p00" and got["y"] == "x" and got["z"] == "z" and got["s7"] == "hub" and len(got) == 31 + 2 + 1 + 41
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
 
