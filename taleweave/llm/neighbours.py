@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from taleweave.llm.vectors import Lists, pack, unit, unpack, usable
@@ -39,14 +41,12 @@ def packed(rows: DataFrame, dims: int) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & (F.size("embedding") == dims)).select("id", "embedding").mapInArrow(go, "id string, vec binary")
 
 
-def sample_of(rows: DataFrame, dims: int, size: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """At most ``size`` usable vectors, chosen by their ids alone, and the number of rows (an upper
-    bound of the vectors', read from file footers)."""
-    n = rows.count()
+def sample_of(vectors: DataFrame, dims: int, size: int = SAMPLE) -> tuple[np.ndarray, int]:
+    """At most ``size`` of the packed vectors (id, vec), chosen by a hash of both, and their number."""
+    n = vectors.count()
     bound = int(min(1.0, 1.1 * size / max(n, 1)) * 2**62)
-    some = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 2) < bound)
-    got = packed(some, dims).select("vec").toArrow()
-    return unpack(got.column("vec"), dims)[:size], n
+    some = vectors.where(F.shiftrightunsigned(F.xxhash64("id", "vec"), 2) < bound)
+    return unpack(some.select("vec").toArrow().column("vec"), dims)[:size], n
 
 
 def in_lists(vectors: DataFrame, index: Lists, dims: int, rows: int) -> DataFrame:
@@ -91,8 +91,8 @@ def _hash(s: str) -> int:
 
 def _best(k: int, least: float, dims: int):
     def go(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist(), object)
-        ids, first = np.unique(ids, return_index=True) if len(set(ids)) == len(ids) else _distinct(table, ids)
+        ids, first = distinct_rows(table)
+        ids = np.array(ids.to_pylist(), object)
         x = unpack(table.column("vec").combine_chunks().take(pa.array(first)), dims)
         y = x.astype(np.float64)
         y /= np.linalg.norm(y, axis=1, keepdims=True)
@@ -124,16 +124,22 @@ def _best(k: int, least: float, dims: int):
     return go
 
 
-def _distinct(table: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated rows count once; an id with several vectors keeps each."""
-    seen, first = set(), []
-    for i, row in enumerate(zip(ids, table.column("vec").to_pylist())):
-        if row not in seen:
+def distinct_rows(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The ids in order and the place of each one's row; repeated rows count once, an id with several vectors
+    keeps each."""
+    column = table.column("id").combine_chunks()
+    order = pc.sort_indices(column).to_numpy()
+    ids = column.take(pa.array(order))
+    place = ids.dictionary_encode().indices.to_numpy()
+    again = np.r_[False, place[1:] == place[:-1]]
+    if again.any():
+        vec, seen, keep = table.column("vec"), set(), np.ones(len(order), bool)
+        for i in np.flatnonzero(again | np.r_[again[1:], False]):
+            row = place[i], vec[int(order[i])].as_py()
+            keep[i] = row not in seen
             seen.add(row)
-            first.append(i)
-    first = np.array(first)
-    first = first[np.argsort(ids[first], kind="stable")]
-    return ids[first], first
+        order, ids = order[keep], ids.filter(pa.array(keep))
+    return ids, order
 
 
 def nearest(rows: DataFrame, k: int = 5, least: float = 0.7, dims: int = 384) -> DataFrame:
@@ -145,8 +151,8 @@ def nearest(rows: DataFrame, k: int = 5, least: float = 0.7, dims: int = 384) ->
     count once; an id with several vectors is compared by each, and the best score counts. Empty
     input gives no rows; other columns are ignored.
     """
-    vectors = packed(rows, dims)
-    sample, n = sample_of(rows, dims)
+    vectors = packed(rows, dims).persist(StorageLevel.MEMORY_AND_DISK)  # read for the sample and for the lists
+    sample, n = sample_of(vectors, dims)
     index = Lists.fit(sample, max(1, int(LIST_ROWS * len(sample) / max(n, 1))), MOST_LISTS)
     found = in_lists(vectors, index, dims, n).groupBy("list", "block_a", "block_b").applyInArrow(
         _best(k, least, dims), "id string, other string, score double"

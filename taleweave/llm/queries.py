@@ -21,7 +21,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.describe(clusters.clusters(_characters(spark, sf)))
+    rows = _characters(spark, sf)
+    return clusters.describe(clusters.clusters(rows), rows)
+
+
+def p1_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.leaves(clusters.clusters(_characters(spark, sf)))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +74,7 @@ def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_clusters": p1_clusters,
+        "p1_leaves": p1_leaves,
         "p3_found": p3_found,
         "p3_entities": p3_entities,
         "p4_found": p4_found,

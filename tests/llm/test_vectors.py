@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -113,8 +115,8 @@ def groups_by_hand(rows, texts, least=0.7, share=0.7):
     return {(i, min(g)) for g in out.values() if len(g) >= 3 for i in g}
 
 
-@pytest.mark.parametrize("local_rows", [8_192, 40])
-def test_clusters_against_brute_force(spark, local_rows):
+@pytest.mark.parametrize(("local_rows", "exact"), [(8_192, False), (40, False), (40, True)])
+def test_clusters_against_brute_force(spark, local_rows, exact):
     rows = world(4, 60)
     rng = np.random.default_rng(5)
     texts = {}
@@ -128,17 +130,48 @@ def test_clusters_against_brute_force(spark, local_rows):
     texts["zz0"] = ""
     df = spark.createDataFrame([(i, v, texts.get(i)) for i, v in rows], "id string, embedding array<float>, composite_text string").selectExpr("*", "1 AS leaf", "2 AS part", "3 AS words")
     texts = {i: t for i, t in texts.items() if t}
-    got = clusters.clusters(df, dims=DIMS, local_rows=local_rows)
+    got = clusters.clusters(df, dims=DIMS, local_rows=local_rows, exact=exact)
     found, want = {(r.id, r.cluster_id) for r in got.collect()}, groups_by_hand([(i, v) for i, v in rows], texts)
-    if local_rows > len(rows):
+    if local_rows > len(rows) or exact:
         assert found == want
     else:  # links between nodes are looked for through medoids: what is found is true, and little is missing
         assert found <= want and len(found) >= 0.97 * len(want)
-    told = clusters.describe(got).collect()
-    assert all(r.n_members >= 3 and 1 <= len(r.typical.split()) <= 3 for r in told)
+    told = clusters.describe(got, df, dims=DIMS).collect()
+    assert {r.cluster_id: r.n_members for r in told} == Counter(c for _, c in found)
+    good, x = {i: v for i, v in rows if i and v and len(v) == DIMS and None not in v and not np.isnan(v).any() and any(v)}, {}
+    for i, c in found:
+        if i in good:
+            x.setdefault(c, []).append((i, unit(np.array([good[i]], np.float32))[0]))
+    for r in told:
+        centre = np.sum([v for _, v in x[r.cluster_id]], axis=0, dtype=np.float64)
+        cos = {i: float(v @ centre / np.linalg.norm(centre)) for i, v in x[r.cluster_id]}
+        want = sorted(cos.values(), reverse=True)[:3]
+        assert np.allclose([cos[i] for i in r.typical.split()], want, atol=1e-6) and r.largest_leaf <= r.n_members
+    leaf = clusters.leaves(got).collect()
+    assert sum(r.n_members for r in leaf) == sum(i in good for i, _ in found) and all(r.leaf in good for r in leaf)
     assert clusters.clusters(df.limit(0), dims=DIMS).collect() == []
 
 
+def test_a_third_of_all_rows_as_copies(spark):
+    """Copies do not split: their node is cut into blocks, and the blocks' medoids, all alike, meet in one list."""
+    rng = np.random.default_rng(8)
+    one = unit(rng.normal(size=(1, DIMS)))[0]
+    rows = [(f"c{i:03}", one.tolist()) for i in range(100)] + [(f"s{i:03}", unit(rng.normal(size=(1, DIMS)))[0].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").selectExpr("*", "cast(null AS string) AS composite_text")
+    tree, counts = clusters.grow(neighbours.packed(df, DIMS), np.array([v for _, v in rows[::9]], np.float32), DIMS, 16)
+    assert sum(counts.values()) == len(rows) and sorted(counts.values())[-2] <= 16 and max(counts.values()) >= 100
+    got = {(r.id, r.cluster_id) for r in clusters.clusters(df, dims=DIMS, local_rows=16).collect()}
+    assert {(i, "c000") for i, _ in rows[:100]} <= got and got == groups_by_hand(rows, {})
+
+
+def test_few_sample_rows_do_not_stop_the_splits(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"s{i:03}", unit(rng.normal(size=(1, DIMS)))[0].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    _, counts = clusters.grow(neighbours.packed(df, DIMS), np.array([rows[0][1]], np.float32), DIMS, 32)
+    assert sum(counts.values()) == 400 and max(counts.values()) <= 32
+
+
 def test_leaves_are_compact():
     rng = np.random.default_rng(6)
     x = unit(rng.normal(size=(300, DIMS)))
