@@ -21,21 +21,23 @@ _MARKS = " \t\r\n⟨⟩`'\"\\"
 
 def link_key(link: Column) -> Column:
     """Key of a link, without table, escapes, blanks and case; null and blank links give null."""
+    return F.nullif(_bare(link), F.lit(""))
+
+
+def _bare(link: Column) -> Column:
     decoded = F.when(link.contains("%"), F.try_url_decode(link)).otherwise(link)
-    bare = F.translate(F.lower(decoded), _MARKS, "")
-    return F.nullif(F.substring_index(bare, ":", -1), F.lit(""))
+    return F.substring_index(F.translate(F.lower(decoded), _MARKS, ""), ":", -1)
 
 
 def canonical_link(link: Column) -> Column:
     """``table:key`` of a link; the table follows from the key's letter, so a bare key is enough. A key
     of another letter counts as one of ``unknown``."""
-    # One lookup by the first letter: a chain of conditions would evaluate the key anew in each.
     names = F.create_map(*[F.lit(x) for pair in TABLE_OF_LETTER.items() for x in pair])
-    whole = F.transform(
-        F.array(link_key(link)),
-        lambda key: F.concat(F.coalesce(F.try_element_at(names, F.left(key, F.lit(1))), F.lit("unknown")), F.lit(":"), key),
-    )
-    return whole[0]
+    key = _bare(link)
+    whole = F.concat(F.coalesce(F.try_element_at(names, F.left(key, F.lit(1))), F.lit("unknown")), F.lit(":"), key)
+    # Most links are written in full; to see that costs less than to write them anew.
+    full = link.rlike(f"^({'|'.join(f'{t}:{a}' for a, t in TABLE_OF_LETTER.items())})[0-9a-f]+$")
+    return F.when(full, link).otherwise(F.nullif(whole, F.lit("unknown:")))
 
 
 # The seven certainties of the ledger, in the schema's order.

@@ -16,6 +16,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
         micros(F.col("created_at")).alias("said_us"),
         canonical_certainty(F.col("certainty")).alias("payload"),
         F.col("id").alias("tie"),
+        F.year("created_at").alias("snapshot"),  # the ledger as its yearly deliveries
     )
     v = history.versions([knows])
     pair = F.split("entity", r"\|")

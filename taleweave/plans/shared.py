@@ -36,6 +36,16 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_parts(df: DataFrame, by: list[str], name: str = "stage") -> list[str]:
+    """As ``cut``, with a file for each value of ``by`` in each part of ``df``, whose rows are sorted by it;
+    gives the files, which are named by the part's number."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/taleweave-{name}-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", 0).partitionBy(*by).parquet(path)
+    _written.append((spark, path))
+    return sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
+
+
 def drop(df_path: str, spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(df_path)

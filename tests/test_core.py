@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from taleweave.functions.links import canonical_certainty, canonical_link, link_key
@@ -54,6 +55,27 @@ def test_versions(spark, parts):
     assert len(got) == len(set(got)) and set(got) == versions_by_hand(rows)
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_merge_of_sorted_runs(size):
+    rng = random.Random(size)
+    runs = [sorted((rng.choice("ab"), rng.randrange(9), rng.randrange(3), f"t{rng.randrange(4)}") for _ in range(n)) for n in (40, 17, 1, 0)]
+    tables = [[pa.table(dict(zip(history.KEY, map(list, zip(*r[i : i + size])))) | {"payload": ["p"] * len(r[i : i + size])}) for i in range(0, len(r), size)] for r in runs]
+    got = [tuple(r[k] for k in history.KEY) for t in history.merged([iter(t) for t in tables]) for r in t.to_pylist()]
+    whole = sorted(r for run in runs for r in run)
+    assert got == sorted(got) and set(got) <= set(whole)
+    # Rows of one moment are next to each other, and its last row, which holds, is there.
+    assert {r[:2]: r for r in got} == {r[:2]: r for r in whole}
+    if size == 50:
+        assert got == whole
+
+
+def test_versions_of_snapshots_in_one_frame(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), rng.randrange(30), rng.randrange(3), rng.choice("xyz"), f"t{i}", rng.choice([2021, 2022, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "entity string, at_us long, said_us long, payload string, tie string, snapshot int")
+    assert {tuple(r) for r in history.versions([df], 4).collect()} == versions_by_hand([r[:5] for r in rows])
+
+
 def test_versions_empty(spark):
     empty = spark.createDataFrame([], "entity string, at_us long, said_us long, payload string, tie string")
     assert history.versions([empty]).collect() == []
