@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from taleweave.plans.shared import cut
 
 #: Rows of a quotient forest that one task solves (about 100 bytes each).
-BASE_ROWS = 200_000
-#: Rows of a part in a contracting round.
-PART_ROWS = 50_000
+BASE_ROWS = 20_000
+#: Rows of a part in a contracting round, and parts at least.
+PART_ROWS, LEAST_PARTS = 50_000, 8
 #: Children that a parent may draw into its part.
 SPREAD = 1_000
 
@@ -73,7 +73,7 @@ def resolve(
             # Only nodes that are exits themselves go on; the rest waits for its exit's result.
             exits = open_.select(F.col("exit").alias("id")).distinct()
             levels.append(open_.join(exits, "id", "left_anti"))
-            parts = -(-n // part_rows)
+            parts = max(LEAST_PARTS, -(-n // part_rows))
             placed = _placed(open_.join(exits, "id", "left_semi"), parts, round_).repartition(parts, "part")
         else:
             placed = open_.coalesce(1)
@@ -92,18 +92,18 @@ def resolve(
             break
     else:
         raise RuntimeError("the forest did not contract")
+    done = cut(done, "done")
     for k, level in enumerate(reversed(levels)):
-        done = cut(done, f"done{k}")
         up = done.select(F.col("id").alias("exit"), "root_id", F.col("depth").alias("up"), "path")
         looped = F.col("up") == -1
-        done = done.unionByName(
-            level.join(up, "exit").select(
-                "id",
-                "root_id",
-                F.when(looped, F.lit(-1)).otherwise(F.col("up") + F.col("steps")).cast("long").alias("depth"),
-                F.when(~looped, F.concat("path", F.lit("/"), "frag")).alias("path"),
-            )
+        solved = level.join(up, "exit").select(
+            "id",
+            "root_id",
+            F.when(looped, F.lit(-1)).otherwise(F.col("up") + F.col("steps")).cast("long").alias("depth"),
+            F.when(~looped, F.concat("path", F.lit("/"), "frag")).alias("path"),
         )
+        # Every level is written once, and read by those below it.
+        done = done.unionByName(cut(solved, f"done{k}") if k + 1 < len(levels) else solved)
     return done if with_paths else done.drop("path")
 
 

@@ -71,22 +71,33 @@ REFERENCES = (
 )
 
 
-def _references(spark: SparkSession, sf: str, name: str, field: str) -> DataFrame:
+def _references(spark: SparkSession, sf: str) -> DataFrame:
+    """All references to check, with ``field`` as ``table/field``."""
     created = F.col("created_at")
-    return table(spark, sf, name).select(
-        canonical_link(F.col("id")).alias("record_id"),
-        link_key(F.col(field)).alias("key"),
-        micros(created).alias("created_us"),
-        F.date_format(created, "yyyy-MM").alias("period"),
+    return _union(
+        [
+            table(spark, sf, name).select(
+                F.lit(f"{name}/{field}").alias("field"),
+                canonical_link(F.col("id")).alias("record_id"),
+                link_key(F.col(field)).alias("key"),
+                micros(created).alias("created_us"),
+                F.date_format(created, "yyyy-MM").alias("period"),
+            )
+            for name, field, _ in REFERENCES
+        ]
     )
 
 
-def _states(spark: SparkSession, sf: str, target: str) -> DataFrame:
-    rows = table(spark, sf, target).select(link_key(F.col("id")).alias("key"), micros(F.col("created_at")).alias("created_us"))
+def _states(spark: SparkSession, sf: str) -> DataFrame:
     gone = table(spark, sf, "deletion_log").select(
         link_key(F.col("entity_id")).alias("key"), micros(F.col("deleted_at")).alias("deleted_us")
     )
-    return orphans.target_states(rows, gone)
+
+    def of(target: str) -> DataFrame:
+        rows = table(spark, sf, target).select(link_key(F.col("id")).alias("key"), micros(F.col("created_at")).alias("created_us"))
+        return orphans.target_states(rows, gone)
+
+    return _union([of(target).withColumn("field", F.lit(f"{name}/{field}")) for name, field, target in REFERENCES])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -96,27 +107,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _named() -> list:
+    return [F.substring_index("field", "/", 1).alias("table_name"), F.substring_index("field", "/", -1).alias("field_name")]
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _union(
-        [
-            orphans.orphan_references(_references(spark, sf, t, f).drop("period"), _states(spark, sf, target))
-            .select(F.lit(t).alias("table_name"), F.lit(f).alias("field_name"), "record_id")
-            .distinct()
-            for t, f, target in REFERENCES
-        ]
-    )
+    found = orphans.orphan_references(_references(spark, sf), _states(spark, sf))
+    return found.select(*_named(), "record_id").distinct()
 
 
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan links per table, field, month of created_at and reason; repeated rows count once."""
-    return _union(
-        [
-            orphans.orphan_counts(
-                _references(spark, sf, t, f).distinct().drop("record_id"), _states(spark, sf, target)
-            ).select(F.lit(t).alias("table_name"), F.lit(f).alias("field_name"), "period", "reason", "n_links")
-            for t, f, target in REFERENCES
-        ]
-    )
+    counts = orphans.orphan_counts(_references(spark, sf).distinct(), _states(spark, sf))
+    return counts.select(*_named(), "period", "reason", "n_links")
 
 
 def queries() -> dict:

@@ -129,6 +129,7 @@ def test_newest_parent(spark):
 
 def test_orphans(spark, monkeypatch):
     monkeypatch.setattr(orphans, "HEAVY_SHARE", 0.3)  # "hot" is heavy
+    # Heavy keys go by broadcast, all others through the anti-join; with no key heavy the result is the same.
     targets = spark.createDataFrame([("hot", 10), ("hot", 20), ("gone", 5), ("late", 50), ("back", 5), ("back", 90), (None, 1)], "key string, created_us long")
     deletions = spark.createDataFrame([("gone", 6), ("back", 60), ("hot", 15), (None, 3)], "key string, deleted_us long")
     refs = [(f"h{i}", "hot", 30) for i in range(20)] + [("early", "hot", 5), ("m", "missing", 1), ("g", "gone", 9), ("l", "late", 49), ("ok", "late", 50), ("b", "back", 70), ("n", None, 1), ("u", "late", None)]
