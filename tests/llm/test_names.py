@@ -36,6 +36,18 @@ def test_variants(spark):
     assert names.variants(df.limit(0)).collect() == []
 
 
+def test_kinds_and_short_forms():
+    assert [names.kind_of(t) for t in ("guild", "gld", "ord", "co", "hse", "bhd", "bo", "koralia", "lord")] == ["guild", "guild", "order", "company", "house", "brotherhood", "", "", ""]
+    assert names.pet_name("kor", "koralia") and names.pet_name("korkin", "koralia") and names.pet_name("cy", "caelidowen") and names.pet_name("ria", "damaria")
+    assert not names.pet_name("kor", "damaria") and not names.pet_name("ia", "damaria") and names.pet_name("d", "damaria")
+
+
+def test_top_keeps_the_best_partners(spark):
+    df = spark.createDataFrame(CASES, "id string, name string, aliases array<string>")
+    few, all_ = ({(r.id_a, r.id_b) for r in names.variants(df, top).collect()} for top in (1, None))
+    assert few and all_ == {(a, b) for g in GROUPS for a in g for b in g if a < b}
+
+
 def test_similar_cores_are_all_found(spark):
     cores = ["dilvarirlar", "dilvarirlr", "dilvrairlar", "kantonkankar", "kantoncankar", "malmelbosbol", "xy", "x"]
     got = {(r.core, r.other) for r in names.similar_cores(spark.createDataFrame([(c,) for c in cores], "core string")).collect()}
@@ -43,6 +55,21 @@ def test_similar_cores_are_all_found(spark):
     assert {(b, a) for a, b in got} == got
 
 
+def frame_of(nodes):
+    """Names with the similar ones among them, their similarity standing in for the cosine."""
+    parsed = [tuple(n.split("|")) for n in nodes]
+    by = {}
+    for i, p in enumerate(parsed):  # two given names within two edits have a letter of the first three in common
+        for c in set(p[2][:3]):
+            by.setdefault(c, []).append(i)
+    alike = [[] for _ in nodes]
+    for i, p in enumerate(parsed):
+        for j in {j for c in set(p[2][:3]) for j in by[c]} if p[2] else range(len(nodes)):
+            if i != j and (v := names.similarity(p, parsed[j])) > 0:
+                alike[i].append({"y": nodes[j], "cosine": round(1000 * v)})
+    return pd.DataFrame({"component": "x", "node": nodes, "known": None, "alike": alike})
+
+
 def test_a_large_chain_is_cut_like_a_small_one():
     # Each given name differs from the one before in one letter: neighbours are alike, the ends are not.
     rng, given, chain = random.Random(1), list("abcdefghijkl"), []
@@ -53,7 +80,7 @@ def test_a_large_chain_is_cut_like_a_small_one():
     assert len(nodes) > 1_500
 
     def grouped(part):
-        got = names._linkage(pd.DataFrame({"component": "x", "node": part, "known": None}))
+        got = names._linkage(frame_of(part))
         return got.groupby("entity")["node"].apply(list).tolist()
 
     groups = grouped(nodes)
@@ -71,23 +98,24 @@ def test_linkage_equals_all_pairs():
         nodes = sorted({f"|{slip(slip(rng.choice(cores)))}|{rng.choice(['koralia', 'koralai', 'kor', 'k', 'korkin', 'damamira', ''])}|" for _ in range(30)})
         parsed = [tuple(n.split("|")) for n in nodes]
         value = {}
+        alike_cores = {(a[1], b[1]) for a in parsed for b in parsed if names.similarity(a, b)}
         for i, a in enumerate(parsed):
             for j, b in enumerate(parsed):
                 v = names.similarity(a, b)
-                if v or not (names.short(a[2]) or names.short(b[2]) or names.edits(a[1], b[1]) > names.EDITS):
-                    value[i, j] = round(20 * v)
+                if v or not (names.short(a[2]) or names.short(b[2]) or (a[1] != b[1] and (a[1], b[1]) not in alike_cores)):
+                    value[i, j] = round(1000 * v)
         groups = [[i] for i in range(len(nodes))]
         while True:
             found = []
             for x in range(len(groups)):
                 for y in range(x + 1, len(groups)):
                     told = [value[i, j] for i in groups[x] for j in groups[y] if (i, j) in value]
-                    if told and sum(told) > 8 * len(told):
+                    if told and sum(told) > 1000 * names.LINKAGE * len(told):
                         found.append((-sum(told) / len(told), x, y))
             if not found:
                 break
             _, x, y = min(found)
             groups[x] += groups.pop(y)
-        got = names._linkage(pd.DataFrame({"component": "x", "node": nodes, "known": None}))
+        got = names._linkage(frame_of(nodes))
         want = {nodes[i]: nodes[g[0]] for g in groups for i in g}
         assert dict(zip(got["node"], got["entity"])) == want
