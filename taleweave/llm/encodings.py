@@ -4,7 +4,8 @@ States: one clean state, one for characters that are lost for good (U+FFFD), and
 encoding, wrong encoding). Only runs of characters beyond ASCII tell the states apart, so they are
 the observations. The clean state emits a run by a chain over characters; the state of a pair emits
 what the pair's inverse transform makes of the run by the same chain, so nothing but clean text has
-to be learnt. The Viterbi path labels the runs; every span of one state gets its inverse transform.
+to be learnt. A run that is garbled in part is cut where its characters' best labels change. The Viterbi path
+labels the runs' characters; every span of one state gets its inverse transform.
 
 The chain is learnt from the documents themselves in rounds: counts over all documents, labelling,
 counts over what then counts as clean or restored. Garbled text in the first counts does no harm
@@ -19,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +36,8 @@ ENTER_UTF8, ENTER_TWICE, ENTER_SINGLE, ENTER_LOST, LEAVE, FLOOR = -5.0, -6.0, -8
 #: In a pair's state, a sequence that does not decode (bytes lost on the way) has this log-probability.
 BROKEN = -9.0
 PRIOR, LANGUAGE_PRIOR = 5.0, 200.0
+#: Characters of a run that stand for one true character at most, where it is cut.
+LONGEST = 12
 ROUNDS = 2
 
 
@@ -164,6 +168,7 @@ class Labels:
     def __init__(self, chain: Chain) -> None:
         self.chain = chain
         self.memo: dict[tuple[str, str, str, str], tuple[float, list[tuple[int, float]]]] = {}
+        self.cuts: dict[tuple[str, str, str, str], list[tuple[int, int]]] = {}
 
     def scores(self, run: str, left: str, right: str, lang: str) -> tuple[float, list[tuple[int, float]]]:
         """Gain of every possible state over the clean one; states that cannot emit the run are absent."""
@@ -188,6 +193,48 @@ class Labels:
             self.memo[key] = (max([g for _, g in gains], default=-1.0), gains)
         return self.memo[key]
 
+    def pieces(self, run: str, left: str, right: str, lang: str) -> list[tuple[int, int, list[tuple[int, float]], float]]:
+        """Parts of a run that are labelled one by one: (start, end, gains, best gain). It is one part unless
+        several explain it better; each of their labels then pays for entering and leaving its state."""
+        top, gains = self.scores(run, left, right, lang)
+        if len(run) < 3:
+            return [(0, len(run), gains, top)]
+        key = (run, kind_of(left), kind_of(right), lang)
+        if key not in self.cuts:
+            net = lambda g: max([x + ENTER[s] + LEAVE for s, x in g if STATES[s][0] in ("utf8", "twice")], default=0.0)
+            # best[j]: gain of the characters before j, and where the last part begins; a clean character is a part.
+            best = [(0.0, 0, False)]
+            for j in range(1, len(run) + 1):
+                at = (best[j - 1][0], j - 1, False)
+                for i in range(max(0, j - LONGEST), j - 1):
+                    g = net(self.scores(run[i:j], run[i - 1] if i else left, run[j] if j < len(run) else right, lang)[1])
+                    if g > 0 and best[i][0] + g > at[0]:
+                        at = (best[i][0] + g, i, True)
+                best.append(at)
+            parts, j = [], len(run)
+            # Against the run as one part, of which what does not decode is as unlikely as a character never seen.
+            one = [x + ENTER[s] + LEAVE + (FLOOR - BROKEN) * (restore(run, s) or ("", 0))[1] for s, x in gains]
+            if best[j][0] > max(0.0, max(one, default=0.0)) + 1.0:
+                end = j
+                while j:  # neighbouring clean characters are one part
+                    _, i, labelled = best[j]
+                    if labelled:
+                        parts += [(j, end)] * (end > j) + [(i, j)]
+                        end = i
+                    j = i
+                parts += [(0, end)] * (end > 0)
+            if len(self.cuts) > 500_000:
+                self.cuts.clear()
+            self.cuts[key] = sorted(parts)
+        cuts = self.cuts[key]
+        if not cuts:
+            return [(0, len(run), gains, top)]
+        out = []
+        for i, j in cuts:
+            t, g = self.scores(run[i:j], run[i - 1] if i else left, run[j] if j < len(run) else right, lang)
+            out.append((i, j, g, t))
+        return out
+
     def label(self, text: str, lang: str = "") -> list[tuple[int, int, int]]:
         """(start, end, state) of each run that is not clean."""
         if text.isascii():
@@ -196,9 +243,9 @@ class Labels:
         n = len(text)
         for m in RUN.finditer(text):
             i, j = m.span()
-            top, gains = self.scores(m.group(), text[i - 1] if i else "", text[j] if j < n else "", lang)
-            best = max(best, top)
-            runs.append((i, j, gains))
+            for a, b, gains, top in self.pieces(m.group(), text[i - 1] if i else "", text[j] if j < n else "", lang):
+                best = max(best, top)
+                runs.append((i + a, i + b, gains))
         if best <= 0:
             return []  # no state gains anywhere
         # Scores are relative to the clean state, so a state costs only entering and leaving.
@@ -246,7 +293,13 @@ def _counting(chain_rows: list | None):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labels = Labels(Chain(chain_rows)) if chain_rows else None
         counts: Counter = Counter()
+        ascii_: dict[str, np.ndarray] = {}
         for b in batches:
+            if labels is None:  # bytes below 128 are the ASCII characters; counted in the first round only
+                for lang, texts in b.groupby("lang", sort=False)["text"]:
+                    total = ascii_.setdefault(lang, np.zeros(257, np.int64))
+                    total[:256] += np.bincount(np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+                    total[256] += len(texts)
             for text, lang in zip(b["text"], b["lang"]):
                 if not text or text.isascii():
                     continue
@@ -254,6 +307,12 @@ def _counting(chain_rows: list | None):
                     text = labels.restored(text, found)
                 _count(text, lang, counts)
         rows = [(*key, n) for key, n in counts.items()]
+        # What follows an ASCII character is mostly ASCII; it is booked under one token as only its size matters.
+        for lang, total in ascii_.items():
+            kinds: Counter = Counter({"^": int(total[256])})
+            for c in range(128):
+                kinds[kind_of(chr(c))] += int(total[c])
+            rows += [(lang, k, "ascii", n) for k, n in kinds.items()]
         yield pd.DataFrame(rows, columns=["lang", "kind", "token", "n"])
 
     return count
@@ -268,18 +327,14 @@ def learn(documents: DataFrame, rounds: int = ROUNDS) -> list[tuple[str, str, st
     """Counts of the clean chain over all documents: (language, class before, token, n). Their number
     is bounded by the characters and languages there are, not by the documents."""
     texts = _texts(documents)
-    ascii_ = {"a": "[^a-z]", "A": "[^A-Z]", "0": "[^0-9]", " ": r"[^\s]", ".": r"[^\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]"}
-    # What follows an ASCII character is mostly ASCII; it is booked under one token as only its size matters.
-    sums = texts.groupBy("lang").agg(
-        *[F.sum(F.length(F.regexp_replace("text", r, ""))).alias(k) for k, r in ascii_.items()], F.count(F.lit(1)).alias("^")
-    )
-    base = [(r["lang"], k, "ascii", r[k]) for r in sums.collect() for k in (*ascii_, "^")]
     rows: list | None = None
-    for _ in range(rounds):
+    base: list = []
+    for _ in range(max(1, rounds)):
         got = texts.mapInPandas(_counting(rows), "lang string, kind string, token string, n long")
-        got = got.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")).collect()
-        rows = sorted(base) + sorted(tuple(r) for r in got)
-    return rows or base
+        got = sorted(tuple(r) for r in got.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")).collect())
+        base = base or [r for r in got if r[2] == "ascii"]
+        rows = base + [r for r in got if r[2] != "ascii"]
+    return rows
 
 
 def garbled(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:

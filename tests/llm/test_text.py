@@ -143,5 +143,14 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert set(r.doc_id for r in encodings.garbled(rows.drop("lang")).collect()) <= set(bad)  # also without languages
 
 
+def test_runs_garbled_in_part_are_cut():
+    counts = [("fr", "a", "é", 500), ("fr", "^", "é", 20), ("fr", "l", "a", 400), ("fr", "l", "»", 60), ("fr", "a", "»", 60), ("fr", " ", "«", 90), ("fr", "p", "a", 200), ("fr", "p", " ", 200), ("fr", "l", " ", 100), ("fr", "l", ".", 50), ("fr", "a", "ascii", 9000), ("fr", " ", "ascii", 2000)]
+    labels = encodings.Labels(encodings.Chain(counts))
+    text = "il dit «le cafÃ©» au café."
+    found = labels.label(text, "fr")
+    assert [text[i:j] for i, j, _ in found] == ["Ã©"] and labels.restored(text, found) == "il dit «le café» au café."
+    assert labels.label("il dit «le café» au café.", "fr") == []
+
+
 def test_plain_of_long_text():
     assert len(plain("é" * 1_000_000)) == 1_000_000
