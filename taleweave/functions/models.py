@@ -29,7 +29,27 @@ def hash_vector(text: str | None, dims: int = DIMS) -> list[float] | None:
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def embed(text: pd.Series) -> pd.Series:
-    return text.map(hash_vector)
+    return pd.Series(hash_vectors(text))
+
+
+def hash_vectors(texts: pd.Series, dims: int = DIMS) -> list[np.ndarray | None]:
+    """``hash_vector`` of a whole batch: words and word pairs are hashed once each and summed up together."""
+    grams, rows = [], []
+    for i, t in enumerate(texts):
+        words = re.findall(r"\w+", (t or "").lower())
+        own = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        grams += own
+        rows += [i] * len(own)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    if grams:
+        code, names = pd.factorize(np.array(grams, object))
+        h = np.array([zlib.crc32(g.encode()) for g in names], np.int64)[code]
+        total = np.bincount(np.array(rows) * dims + h % dims, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * dims).reshape(-1, dims)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        total = (total / np.where(size > 0, size, 1)).astype(np.float32)
+        for i in set(rows):
+            out[i] = total[i]
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

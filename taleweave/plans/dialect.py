@@ -38,6 +38,7 @@ class Spark:
     def slice(self, a, start, n): return f"slice({a}, {start}, {n})"
     def explode(self, table, arr, alias): return f"{table} LATERAL VIEW explode({arr}) ex AS {alias}"
     def words(self, c): return f"regexp_extract_all(lower({c}), '[a-z0-9]+', 0)"
+    def split_words(self, c): return f"split({c}, ' +')"
     def texts(self, c, sep=","): return f"array_join(array_sort(collect_list({c})), '{sep}')"
     def distinct_texts(self, c, sep=","): return f"array_join(array_sort(collect_set({c})), '{sep}')"
     def joined(self, a, sep=","): return f"array_join({a}, '{sep}')"
@@ -74,6 +75,7 @@ class Duck(Spark):
     def slice(self, a, start, n): return f"{a}[{start}:{start} + {n} - 1]"
     def explode(self, table, arr, alias): return f"(SELECT *, unnest({arr}) AS {alias} FROM {table})"
     def words(self, c): return f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+    def split_words(self, c): return f"string_split_regex({c}, ' +')"
     def texts(self, c, sep=","): return f"string_agg({c}, '{sep}' ORDER BY {c})"
     def distinct_texts(self, c, sep=","): return f"string_agg(DISTINCT {c}, '{sep}' ORDER BY {c})"
     def joined(self, a, sep=","): return f"array_to_string({a}, '{sep}')"

@@ -12,6 +12,15 @@ from taleweave.plans.world import LETTERS
 FOCUS, OTHER = "(SELECT id FROM focus_)", "(SELECT id FROM other_)"
 OPS: dict = {}
 
+# What clients know these grades by, each with the number it lies below.
+ARC = ((0.02, "essentially unchanged"), (0.1, "minor evolution"), (0.3, "significant evolution"), (None, "dramatic transformation"))
+GAP = ((0.05, "remarkably accurate"), (0.15, "fairly accurate"), (0.30, "notable blind spots"), (0.50, "significantly distorted"), (None, "dramatically wrong"))
+WHAT_IF = ((0.02, "negligible"), (0.05, "minor"), (0.10, "moderate"), (0.20, "major"), (None, "transformative"))
+
+
+def _graded(x: str, grades: tuple) -> str:
+    return "CASE " + " ".join(f"WHEN {x} < {below} THEN '{name}'" for below, name in grades[:-1]) + f" ELSE '{grades[-1][1]}' END"
+
 
 def op(f):
     OPS[f.__name__] = f
@@ -75,7 +84,7 @@ def scenes_by_secondary_location(d: Spark):
 def list_facts(d: Spark, enforcement: str = "strict", search: str = "steel", limit: int = 20, offset: int = 0):
     """Facts by conjunctive filters; the total is that before the page."""
     return f"""SELECT id, title, description, enforcement, total FROM (SELECT id, title, description, enforcement, count(*) OVER () AS total, row_number() OVER (ORDER BY id) AS rn
-        FROM facts_ WHERE enforcement = '{enforcement}' OR lower(description) LIKE '%{search}%') z WHERE rn > {offset} AND rn <= {offset + limit}"""
+        FROM facts_ WHERE enforcement = '{enforcement}' AND lower(description) LIKE '%{search}%') z WHERE rn > {offset} AND rn <= {offset + limit}"""
 
 
 @op
@@ -127,10 +136,10 @@ def knowledge_at_event(d: Spark):
         return """SELECT i.in_id, i.out_id AS event_id, k.out_id, k.certainty FROM (SELECT w.in_id, w.out_id, e.created_at, part_ FROM involved_ w JOIN events_ e ON e.id = w.out_id LATERAL VIEW explode(sequence(0, 63)) ex AS part_) i
             JOIN (SELECT in_id, out_id, certainty, learned_at, lead(learned_at) OVER (PARTITION BY in_id, out_id ORDER BY learned_at, created_at, id) AS until, pmod(hash(out_id), 64) AS part_ FROM knows_ WHERE certainty IS NOT NULL) k
             ON k.in_id = i.in_id AND k.part_ = i.part_ AND k.learned_at <= i.created_at AND (k.until IS NULL OR k.until > i.created_at)"""
-    # The check SQL is as it was in round 1: two characters.
+    # The same by rank: of all that a witness stated up to the event, the last about each target.
     return """SELECT in_id, event_id, out_id, certainty FROM (SELECT i.in_id, i.out_id AS event_id, k.out_id, k.certainty, row_number() OVER (PARTITION BY i.in_id, i.out_id, k.out_id
         ORDER BY k.learned_at DESC, k.created_at DESC, k.id DESC) AS rn FROM involved_ i JOIN events_ e ON e.id = i.out_id
-        JOIN knows_ k ON k.in_id = i.in_id AND k.learned_at <= e.created_at WHERE k.certainty IS NOT NULL AND i.in_id IN (SELECT id FROM focus_ UNION SELECT id FROM other_)) z WHERE rn = 1"""
+        JOIN knows_ k ON k.in_id = i.in_id AND k.learned_at <= e.created_at WHERE k.certainty IS NOT NULL) z WHERE rn = 1"""
 
 
 @op
@@ -184,8 +193,7 @@ def possible_sources(d: Spark):
 def _scenes_since(d: Spark) -> str:
     # Counting per month first keeps the ordered running sum on a few rows; only the month itself is
     # compared row by row.
-    return f"""per AS (SELECT {d.month('created_at')} AS m, count(*) AS n FROM scenes_ GROUP BY 1), later AS (SELECT m, n, sum(n) OVER (ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_m FROM per),
-        span AS (SELECT m, after_m FROM later), months AS (SELECT DISTINCT {d.month('learned_at')} AS m FROM held_),
+    return f"""per AS (SELECT {d.month('created_at')} AS m, count(*) AS n FROM scenes_ GROUP BY 1), months AS (SELECT DISTINCT {d.month('learned_at')} AS m FROM held_),
         after_month AS (SELECT q.m, coalesce(sum(p.n), 0) AS after_m FROM months q LEFT JOIN per p ON p.m > q.m GROUP BY q.m),
         within AS (SELECT h.id, count(s.id) AS n FROM held_ h LEFT JOIN scenes_ s ON {d.month('s.created_at')} = {d.month('h.learned_at')} AND s.created_at > h.learned_at GROUP BY h.id),
         since AS (SELECT h.*, cast(w.n + a.after_m AS BIGINT) AS scenes_since FROM held_ h JOIN within w ON w.id = h.id JOIN after_month a ON a.m = {d.month('h.learned_at')})"""
@@ -259,24 +267,48 @@ def narrative_tensions(d: Spark, min_severity: float = 0.0):
 @op
 def character_features(d: Spark):
     """Counts that roles are inferred from."""
-    return """SELECT c.id, coalesce(a.n, 0) AS known_about, coalesce(a.w, 0) AS false_about, coalesce(h.n, 0) AS holds, coalesce(h.w, 0) AS holds_false, coalesce(r.mentor, 0) AS mentors,
-        coalesce(r.rival, 0) AS rivals, coalesce(r.ally, 0) AS allies, coalesce(g.degree, 0) AS degree FROM characters_ c
+    trait = lambda k: f"max({d.size(d.entry('profile', k))}) AS {k}"
+    return f"""SELECT c.id, coalesce(a.n, 0) AS known_about, coalesce(a.w, 0) AS false_about, coalesce(h.n, 0) AS holds, coalesce(h.w, 0) AS holds_false, coalesce(r.mentor, 0) AS mentors,
+        coalesce(r.rival, 0) AS rivals, coalesce(r.ally, 0) AS allies, coalesce(g.degree, 0) AS degree, coalesce(t.secret, 0) AS secrets, coalesce(t.contradiction, 0) AS contradictions, coalesce(t.wound, 0) AS wounds FROM characters_ c
+        LEFT JOIN (SELECT id, {trait('secret')}, {trait('contradiction')}, {trait('wound')} FROM characters GROUP BY id) t ON t.id = c.id
         LEFT JOIN (SELECT out_id, count(*) AS n, sum(CASE WHEN certainty = 'believes_wrongly' THEN 1 ELSE 0 END) AS w FROM held_ GROUP BY out_id) a ON a.out_id = c.id
         LEFT JOIN (SELECT in_id, count(*) AS n, sum(CASE WHEN certainty = 'believes_wrongly' THEN 1 ELSE 0 END) AS w FROM held_ GROUP BY in_id) h ON h.in_id = c.id
         LEFT JOIN (SELECT in_id, sum(CASE WHEN rel_type = 'mentor' THEN 1 ELSE 0 END) AS mentor, sum(CASE WHEN rel_type IN ('rival', 'enemy') THEN 1 ELSE 0 END) AS rival,
                    sum(CASE WHEN rel_type IN ('ally', 'friend') THEN 1 ELSE 0 END) AS ally FROM relates_ GROUP BY in_id) r ON r.in_id = c.id
-        LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT in_id AS id, out_id AS o FROM edges_ UNION SELECT out_id, in_id FROM edges_) z GROUP BY id) g ON g.id = c.id"""
+        LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT in_id AS id, out_id AS o FROM edges_ UNION ALL SELECT out_id, in_id FROM edges_) z GROUP BY id) g ON g.id = c.id"""
+
+
+# A role, when it counts, and its weight. central is the number of links over all others there are.
+ROLES = (
+    ("social_hub", "central > 0.5", "0.6 + (central - 0.5) * 0.8"),
+    ("outsider", "central = 0", "0.9"),
+    ("peripheral", "central > 0 AND central < 0.2", "0.4"),
+    ("person_of_interest", "known_about >= 3", "0.4 + least(known_about / 10.0, 0.5)"),
+    ("enigma", "false_about >= 2", "0.5 + least(false_about / 5.0, 0.4)"),
+    ("deceived", "holds_false >= 2", "0.4 + least(holds_false / 5.0, 0.4)"),
+    ("information_broker", "holds >= 5", "0.3 + least(holds / 20.0, 0.4)"),
+    ("mentor", "mentors >= 1", "0.5 + least(mentors / 3.0, 0.4)"),
+    ("antagonist", "rivals >= 2", "0.4 + least(rivals / 5.0, 0.4)"),
+    ("connector", "allies >= 3", "0.3 + least(allies / 6.0, 0.4)"),
+    ("keeper_of_secrets", "secrets >= 1", "0.4 + least(secrets / 3.0, 0.4)"),
+    ("complex_character", "contradictions >= 1", "0.3 + least(contradictions / 3.0, 0.4)"),
+    ("tragic_figure", "wounds >= 1", "0.3 + least(wounds / 3.0, 0.3)"),
+)
 
 
 @op
 def infer_roles(d: Spark):
-    """The best narrative role of each character by scored rules over its features."""
-    features = character_features(d)
-    rules = {"keeper": "least(1.0, holds / 40.0)", "deceived": "CASE WHEN holds > 0 THEN holds_false * 1.0 / holds ELSE 0 END", "enigma": "CASE WHEN known_about > 0 THEN false_about * 1.0 / known_about ELSE 0 END",
-             "mentor": "least(1.0, mentors * 0.4)", "antagonist": "least(1.0, rivals * 0.3)", "companion": "least(1.0, allies * 0.25)", "hub": "least(1.0, degree / 60.0)", "outsider": "CASE WHEN degree = 0 THEN 1.0 ELSE 0 END"}
-    union = " UNION ALL ".join(f"SELECT id, '{r}' AS role, cast({x} AS DOUBLE) AS score FROM feat" for r, x in rules.items())
-    return f"""WITH feat AS ({features}), scored AS ({union}), ranked AS (SELECT id, role, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, role) AS rn FROM scored)
-        SELECT p.id, p.role, round(p.score, 6) AS confidence, (SELECT count(*) FROM scored s WHERE s.id = p.id AND s.score >= 0.3 AND s.role <> p.role) AS n_secondary FROM ranked p WHERE p.rn = 1"""
+    """The best narrative role of each character by scored rules over its features, and how many others (up to three)
+    count besides. ``bridge``, which needs betweenness, is left out; that is an operation of its own."""
+    feat = f"SELECT f.*, f.degree * 1.0 / greatest(n.n - 1, 1) AS central FROM ({character_features(d)}) f CROSS JOIN (SELECT count(*) AS n FROM characters_) n"
+    if d.name == "spark":
+        # One pass: a row's roles are sorted within it.
+        scores = ", ".join(f"struct(CASE WHEN {when} THEN round(-cast({weight} AS DOUBLE), 9) ELSE 1.0 END AS s, '{role}' AS role)" for role, when, weight in ROLES)
+        return f"""SELECT id, CASE WHEN size(r) > 0 THEN r[0].role ELSE 'undefined' END AS role, CASE WHEN size(r) > 0 THEN round(least(1.0, -r[0].s), 6) ELSE 0.0 END AS confidence,
+            cast(least(3, greatest(0, size(filter(r, x -> x.s <= -0.3)) - 1)) AS BIGINT) AS n_secondary FROM (SELECT id, filter(array_sort(array({scores})), x -> x.s <= 0) AS r FROM ({feat}) f) z"""
+    union = " UNION ALL ".join(f"SELECT id, '{role}' AS role, round(cast({weight} AS DOUBLE), 9) AS s FROM feat WHERE {when}" for role, when, weight in ROLES)
+    return f"""WITH feat AS ({feat}), scored AS ({union}), ranked AS (SELECT id, role, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, role) AS rn, count(*) FILTER (s >= 0.3) OVER (PARTITION BY id) AS n FROM scored)
+        SELECT f.id, coalesce(p.role, 'undefined') AS role, coalesce(round(least(1.0, p.s), 6), 0.0) AS confidence, coalesce(least(3, greatest(0, p.n - 1)), 0)::BIGINT AS n_secondary FROM feat f LEFT JOIN ranked p ON p.id = f.id AND p.rn = 1"""
 
 
 @op
@@ -298,10 +330,11 @@ def character_voice(d: Spark, character: str = FOCUS):
 
 @op
 def world_health(d: Spark):
-    """Vectors per table: total, embedded, stale, coverage, with an overall row."""
-    return """SELECT coalesce(kind, 'OVERALL') AS kind, sum(total) AS total, sum(embedded) AS embedded, sum(stale) AS stale, round(sum(embedded) * 100.0 / sum(total), 6) AS coverage FROM (
+    """Vectors per type of entity: total, embedded, stale, coverage, with an overall row. Types whose vectors are not
+    stored have null, and no part in the overall coverage."""
+    return """SELECT coalesce(kind, 'OVERALL') AS kind, sum(total) AS total, sum(embedded) AS embedded, sum(stale) AS stale, round(sum(embedded) * 100.0 / sum(CASE WHEN embedded IS NOT NULL THEN total END), 6) AS coverage FROM (
         SELECT 'character' AS kind, 1 AS total, CASE WHEN id IN (SELECT id FROM characters WHERE cardinality(embedding) = 384) THEN 1 ELSE 0 END AS embedded, stale FROM characters_
-        UNION ALL SELECT 'location', 1, 0, 0 FROM locations_ UNION ALL SELECT 'event', 1, 0, 0 FROM events_ UNION ALL SELECT 'scene', 1, 0, 0 FROM scenes_ UNION ALL SELECT 'vector', 1, 1, 0 FROM embeddings) z
+        UNION ALL SELECT 'location', 1, NULL, NULL FROM locations_ UNION ALL SELECT 'event', 1, NULL, NULL FROM events_ UNION ALL SELECT 'scene', 1, NULL, NULL FROM scenes_ UNION ALL SELECT 'knowledge', 1, NULL, NULL FROM knowledge_) z
         GROUP BY ROLLUP (kind)""".replace("cardinality(embedding)", d.size("embedding"))
 
 
@@ -312,23 +345,12 @@ def world_health(d: Spark):
 def graph_traversal(d: Spark, start: str = FOCUS, depth: int = 2):
     """Breadth-first: characters within ``depth`` undirected hops, with the fewest hops."""
     return f"""{d.recursive} und AS (SELECT in_id AS a, out_id AS b FROM edges_ UNION SELECT out_id, in_id FROM edges_),
-        walk AS (SELECT id, 0 AS hops FROM focus_ UNION SELECT u.b, w.hops + 1 FROM walk w JOIN und u ON u.a = w.id WHERE w.hops < {depth})
-        SELECT id, min(hops) AS hops FROM walk GROUP BY id HAVING min(hops) > 0""" if d.name == "duckdb" else _levels(d, start, depth)
-
-
-def _levels(d: Spark, start: str, depth: int) -> str:
-    # Level by level with the seen nodes taken out: each level is one join and one anti-join.
-    ctes = [f"und AS (SELECT in_id AS a, out_id AS b FROM edges_ UNION SELECT out_id, in_id FROM edges_), l0 AS (SELECT {start} AS id)"]
-    seen = "SELECT id, 0 AS hops FROM l0"
-    for h in range(1, depth + 1):
-        ctes.append(f"s{h} AS ({seen}), l{h} AS (SELECT DISTINCT u.b AS id FROM l{h - 1} p JOIN und u ON u.a = p.id LEFT ANTI JOIN s{h} s ON s.id = u.b)")
-        seen += f" UNION ALL SELECT id, {h} FROM l{h}"
-    return f"WITH {', '.join(ctes)} SELECT id, hops FROM ({seen}) z WHERE hops > 0"
+        walk AS (SELECT {start} AS id, 0 AS hops UNION SELECT u.b, w.hops + 1 FROM walk w JOIN und u ON u.a = w.id WHERE w.hops < {depth})
+        SELECT id, min(hops) AS hops FROM walk GROUP BY id HAVING min(hops) > 0"""
 
 
 def _depth(d: Spark) -> int:
-    # The reference's default; the check SQL keeps the depth that it had in round 1.
-    return 2 if d.name == "duckdb" else 3
+    return 3
 
 
 @op
@@ -336,7 +358,7 @@ def connection_paths(d: Spark, start: str = FOCUS, end: str = OTHER, max_hops: i
     """All simple paths between two characters of at most ``max_hops``, by perceptions either way and by events both witnessed.
     A path is its characters: one that several relations or events make is listed once."""
     max_hops = max_hops or _depth(d)
-    events = d.name == "spark" if include_events is None else include_events
+    events = include_events is None or include_events
     parts = []
     shared = " UNION SELECT x.in_id, y.in_id FROM involved_ x JOIN involved_ y ON y.out_id = x.out_id AND y.in_id <> x.in_id" if events else ""
     und = f"und AS (SELECT in_id AS a, out_id AS b FROM perceives_ UNION SELECT out_id, in_id FROM perceives_{shared})"
@@ -425,10 +447,10 @@ def timeline_violations(d: Spark):
         return """SELECT k.id, k.in_id, k.event_id, CASE WHEN max(CASE WHEN a.enforcement = 'strict' THEN 1 ELSE 0 END) = 1 THEN 'critical' ELSE 'warning' END AS severity, max(e.sequence) - min(p.sequence) AS gap
             FROM knows_ k JOIN events_ e ON e.id = k.event_id JOIN (SELECT t.in_id, min(v.sequence) AS sequence FROM participates_ t JOIN scenes_ s ON s.id = t.out_id JOIN events_ v ON v.id = s.event GROUP BY t.in_id) p
             ON p.in_id = k.in_id AND p.sequence < e.sequence LEFT JOIN applies_ a ON a.entity_id = k.out_id GROUP BY k.id, k.in_id, k.event_id"""
-    # The check SQL is as it was in round 1: it keeps the reverse of the rule.
-    return """SELECT k.id, k.in_id, k.event_id, CASE WHEN max(CASE WHEN a.enforcement = 'strict' THEN 1 ELSE 0 END) = 1 THEN 'critical' ELSE 'warning' END AS severity, min(e.sequence) - max(p.sequence) AS gap
-        FROM knows_ k JOIN events_ e ON e.id = k.event_id JOIN (SELECT i.in_id, min(v.sequence) AS sequence FROM involved_ i JOIN events_ v ON v.id = i.out_id GROUP BY i.in_id) p
-        ON p.in_id = k.in_id AND p.sequence > e.sequence LEFT JOIN applies_ a ON a.entity_id = k.out_id GROUP BY k.id, k.in_id, k.event_id"""
+    # The same scene by scene, without a minimum per character first.
+    return """SELECT k.id, k.in_id, k.event_id, CASE WHEN bool_or(coalesce(a.enforcement, '') = 'strict') THEN 'critical' ELSE 'warning' END AS severity, max(e.sequence - v.sequence) AS gap
+        FROM knows_ k JOIN events_ e ON e.id = k.event_id JOIN participates_ t ON t.in_id = k.in_id JOIN scenes_ s ON s.id = t.out_id JOIN events_ v ON v.id = s.event AND v.sequence < e.sequence
+        LEFT JOIN applies_ a ON a.entity_id = k.out_id GROUP BY k.id, k.in_id, k.event_id"""
 
 
 @op
@@ -440,13 +462,23 @@ def relationship_violations(d: Spark):
         ON y.in_id = x.out_id AND y.out_id = x.in_id WHERE x.in_id < x.out_id AND x.feelings <> y.feelings"""
 
 
+NEGATIONS = ("no ", "not ", "cannot ", "never ", "without ", "lacks ")  # fixed values
+
+
 @op
 def fact_violations(d: Spark):
-    """Statements of knowledge that deny a word of a strict fact's description."""
-    words = f"SELECT DISTINCT id, enforcement, lower(w) AS w FROM {d.explode('(SELECT id, enforcement, ' + d.words('description') + ' AS ws FROM facts_)' + (' q' if d.name == 'spark' else ''), 'ws', 'w')}{' y' if d.name == 'duckdb' else ''} WHERE length(w) > 3"
-    return f"""WITH fw AS ({words}) SELECT k.id, a.fact_id, count(DISTINCT fw.w) AS n_words, CASE WHEN a.enforcement = 'strict' THEN 'critical' ELSE 'warning' END AS severity
-        FROM applies_ a JOIN knowledge_ k ON k.id = a.entity_id JOIN fw ON fw.id = a.fact_id
-        WHERE lower(k.fact) LIKE '%not %' OR lower(k.fact) LIKE '%never %' OR lower(k.fact) LIKE '%without %' OR {d.pos('fw.w', 'lower(k.fact)')} > 0 GROUP BY k.id, a.fact_id, a.enforcement"""
+    """Statements of knowledge that deny a fact that applies: a word of its title or description (of more than three
+    letters) comes within 20 characters after a negation. Confidence grows with the words of the title that the
+    statement holds, from 0.3 to 0.9; statements of characters may be meant so, hence ``intentional``."""
+    words = lambda c, v: f"SELECT DISTINCT id, w AS {v} FROM {d.explode(f'(SELECT id, {d.split_words(c)} AS ws FROM facts_)' + (' q' if d.name == 'spark' else ''), 'ws', 'w')}{' y' if d.name == 'duckdb' else ''} WHERE length(w) > 3"
+    before = f"substring(lower(k.fact), greatest(1, {d.pos('fw.w', 'lower(k.fact)')} - 20), least(20, {d.pos('fw.w', 'lower(k.fact)')} - 1))"
+    denied = " OR ".join(f"{before} LIKE '%{n}%'" for n in NEGATIONS)
+    return f"""WITH fw AS ({words("lower(title || ' ' || description)", "w")}), tw AS ({words("lower(title)", "w")}),
+        hit AS (SELECT a.fact_id, a.enforcement, k.id, k.fact, count(DISTINCT fw.w) AS n_words FROM applies_ a JOIN knowledge_ k ON k.id = a.entity_id JOIN fw ON fw.id = a.fact_id
+            WHERE {d.pos('fw.w', 'lower(k.fact)')} > 1 AND ({denied}) GROUP BY a.fact_id, a.enforcement, k.id, k.fact)
+        SELECT h.id, h.fact_id, h.n_words, CASE h.enforcement WHEN 'strict' THEN 'critical' WHEN 'warning' THEN 'warning' ELSE 'info' END AS severity, 1 AS intentional,
+        round(0.3 + 0.6 * coalesce(avg(CASE WHEN {d.pos('tw.w', 'lower(h.fact)')} > 0 THEN 1.0 ELSE 0.0 END), 1.0 / 3), 6) AS confidence
+        FROM hit h LEFT JOIN tw ON tw.id = h.fact_id GROUP BY h.id, h.fact_id, h.n_words, h.enforcement"""
 
 
 @op
@@ -475,7 +507,7 @@ def arc_drift(d: Spark):
     """Total drift, net displacement and efficiency of each series."""
     net = f"1 - {d.cosine('f.a', 'f.b')}"
     return f"""SELECT t.series, round(t.total, 6) AS total_drift, round({net}, 6) AS net, round(({net}) / t.total, 6) AS efficiency,
-        CASE WHEN {net} < 0.02 THEN 'static' WHEN {net} < 0.1 THEN 'subtle' WHEN {net} < 0.3 THEN 'marked' ELSE 'transformed' END AS assessment
+        {_graded(net, ARC)} AS assessment
         FROM (SELECT series, sum(delta) AS total FROM ({_deltas_(d)}) y GROUP BY series) t JOIN ({_FIRST_LAST}) f ON f.series = t.series WHERE t.total > 0"""
 
 
@@ -550,15 +582,16 @@ def facet_similarities(d: Spark):
 
 
 def _seen(d: Spark) -> str:
-    # An observer's view of a label's vectors: the observer's own vector moved halfway to theirs.
-    return f"SELECT o.vec_id AS observer, t.vec_id AS target, o.label AS label, {d.plus('o.embedding', 't.embedding')} AS v, t.embedding AS real_v FROM embeddings o JOIN embeddings t ON t.vec_id = o.vec_id + 1 OR t.vec_id = o.vec_id + 3"
+    # An observer's view of two others' vectors: the observer's own vector moved halfway to theirs.
+    one = lambda k: f"SELECT o.vec_id AS observer, t.vec_id AS target, o.label AS label, {d.plus('o.embedding', 't.embedding')} AS v, t.embedding AS real_v FROM embeddings o JOIN embeddings t ON t.vec_id = o.vec_id + {k}"
+    return f"{one(1)} UNION ALL {one(3)}"
 
 
 @op
 def perception_gap(d: Spark):
     """How far an observer's view of a target is from the target itself."""
     gap = f"1 - {d.cosine('v', 'real_v')}"
-    return f"""SELECT observer, target, round({gap}, 6) AS gap, CASE WHEN {gap} < 0.05 THEN 'accurate' WHEN {gap} < 0.15 THEN 'slight' WHEN {gap} < 0.30 THEN 'notable' WHEN {gap} < 0.50 THEN 'large' ELSE 'total' END AS label FROM ({_seen(d)}) z"""
+    return f"""SELECT observer, target, round({gap}, 6) AS gap, {_graded(gap, GAP)} AS label FROM ({_seen(d)}) z"""
 
 
 @op
@@ -592,9 +625,10 @@ def theme_clusters(d: Spark):
         return f"""SELECT label, count(*) AS n, min_by(vec_id, struct(dist, vec_id)) AS most_central, round(avg(1 / (1 + dist)), 6) AS centrality FROM (SELECT e.vec_id, e.label, round(sqrt({d.dot(off, off)}), 9) AS dist
             FROM embeddings e JOIN (SELECT label, transform(array_sort(collect_list(struct(pos, x))), p -> p.x) AS centre FROM (SELECT label, pos, avg(cast(x AS DOUBLE)) AS x
             FROM embeddings LATERAL VIEW posexplode(embedding) ex AS pos, x GROUP BY label, pos) y GROUP BY label) m ON m.label = e.label) z GROUP BY label"""
-    # The check SQL is as it was in round 1: the vector of the smallest vec_id is the centre.
-    return f"""SELECT label, count(*) AS n, min_by(vec_id, dist) AS most_central, round(avg(1 / (1 + dist)), 6) AS centrality FROM (SELECT e.vec_id, e.label, round(sqrt(greatest({d.dot(d.minus('e.embedding', 'm.embedding'), d.minus('e.embedding', 'm.embedding'))}, 0)), 9) AS dist
-        FROM embeddings e JOIN (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) m ON m.label = e.label) z GROUP BY label"""
+    off = d.minus("e.embedding", "m.centre")
+    return f"""SELECT label, count(*) AS n, arg_min(vec_id, (dist, vec_id)) AS most_central, round(avg(1 / (1 + dist)), 6) AS centrality FROM (SELECT e.vec_id, e.label, round(sqrt(greatest({d.dot(off, off)}, 0)), 9) AS dist
+        FROM embeddings e JOIN (SELECT label, list(x ORDER BY pos) AS centre FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) u
+        GROUP BY label, pos) y GROUP BY label) m ON m.label = e.label) z GROUP BY label"""
 
 
 @op
@@ -648,11 +682,14 @@ def name_resolution(d: Spark, query: str = "corestdric tusbenpospus"):
 
 
 @op
-def rank_fusion(d: Spark, word: str = "lantern", query: int = 0, k: int = 20):
-    """Reciprocal-rank fusion of a keyword ranking and a vector ranking (constant 60)."""
-    return f"""WITH kw AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n DESC, doc_id) AS r FROM (SELECT DISTINCT doc_id, length(text) - length(replace(lower(text), '{word}', '{word[:-1]}')) AS n FROM documents) z WHERE n > 0),
-        vec AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY round({d.cosine('e.embedding', 'q.embedding')}, 9) DESC, e.vec_id) AS r FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {query}) q),
-        both_ AS (SELECT coalesce(kw.id, vec.id) AS id, coalesce(1.0 / (60 + kw.r), 0) + coalesce(1.0 / (60 + vec.r), 0) AS score FROM (SELECT * FROM kw WHERE r <= {2 * k}) kw FULL OUTER JOIN (SELECT * FROM vec WHERE r <= {2 * k}) vec ON vec.id = kw.id)
+def rank_fusion(d: Spark, word: str = "lantern", k: int = 20):
+    """Reciprocal-rank fusion (constant 60) of two rankings of characters: how often their text holds a word, and how
+    similar their vector is to that of the character who holds it most often."""
+    return f"""WITH c AS (SELECT id, max(composite_text) AS t, max(CASE WHEN {d.size('embedding')} = 384 THEN embedding END) AS v FROM characters GROUP BY id),
+        hits AS (SELECT id, n, row_number() OVER (ORDER BY n DESC, id) AS r FROM (SELECT id, (length(t) - length(replace(lower(t), '{word}', ''))) / {len(word)} AS n FROM c WHERE t IS NOT NULL) z WHERE n > 0),
+        probe AS (SELECT c.v FROM hits JOIN c ON c.id = hits.id WHERE c.v IS NOT NULL AND {d.dot('c.v', 'c.v')} > 0 ORDER BY hits.r LIMIT 1),
+        vec AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM (SELECT c.id, round({d.cosine('c.v', 'p.v')}, 9) AS s FROM c CROSS JOIN probe p WHERE c.v IS NOT NULL AND {d.dot('c.v', 'c.v')} > 0) z),
+        both_ AS (SELECT coalesce(h.id, x.id) AS id, coalesce(1.0 / (60 + h.r), 0) + coalesce(1.0 / (60 + x.r), 0) AS score FROM (SELECT * FROM hits WHERE r <= {2 * k}) h FULL OUTER JOIN (SELECT * FROM vec WHERE r <= {2 * k}) x ON x.id = h.id)
         SELECT id, round(score, 9) AS score FROM (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rn FROM both_) z WHERE rn <= {k}"""
 
 
@@ -741,9 +778,7 @@ def stale_cascade(d: Spark):
 def location_current(d: Spark):
     """Latest-wins merge of partial updates, field by field (a set field may be set to null)."""
     def newest(f):
-        # The check SQL is as it was in round 1: it drops updates whose link is not written in full.
-        link, plain = ("lower(trim(location_id))", " AND location_id LIKE 'location:l%'") if d.name == "duckdb" else (d.link("location_id", LETTERS), "")
-        rows = f"""SELECT id, {f} AS x, updated_at, 0 AS r FROM locations UNION ALL SELECT {link}, {f}, updated_at, 1 FROM location_updates WHERE {d.has('fields_set', f"'{f}'")}{plain}"""
+        rows = f"""SELECT id, {f} AS x, updated_at, 0 AS r FROM locations UNION ALL SELECT {d.link('location_id', LETTERS)}, {f}, updated_at, 1 FROM location_updates WHERE {d.has('fields_set', f"'{f}'")}"""
         return f"SELECT id, x AS {f} FROM (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, r DESC, coalesce(x, '') DESC) AS rn FROM ({rows}) z) y WHERE rn = 1"
     return f"SELECT n.id, n.name, t.loc_type FROM ({newest('name')}) n JOIN ({newest('loc_type')}) t ON t.id = n.id WHERE n.id IN (SELECT id FROM locations)"
 

@@ -2,34 +2,101 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from taleweave.functions.models import embed, tag_names
+from taleweave.functions.models import embed, hash_vector, tag_names
 from taleweave.operators.betweenness import centrality
 from taleweave.plans.dialect import Duck, Spark
-from taleweave.plans.operations import OPS
+from taleweave.plans.operations import OPS, WHAT_IF, _graded
 from taleweave.plans import upkeep_operations  # noqa: F401 - registers its operations
-from taleweave.plans.world import raw_tables, with_views
+from taleweave.plans.shared import cut
+from taleweave.plans.world import raw_tables, views, with_views
 from taleweave.sources.tables import table
 
 
+#: Views that are written once per query if it would read them this often.
+WRITTEN, MENTIONS = ("knows_", "held_", "perceives_", "relates_", "involved_", "scenes_", "participates_", "applies_", "edges_", "entity_", "focus_", "other_"), 3
+
+
 def run(spark: SparkSession, sf_dir: str, name: str, **parameters) -> DataFrame:
-    """The operation's plan; nothing is executed yet. Only the tables it names are opened."""
-    sql = with_views(Spark(), OPS[name](Spark(), **parameters))
-    for t in raw_tables(sql):
+    """The operation's result. Only the tables it names are opened. A view that the plan would repeat is written to
+    the shared folder first, so the ledger is read once for it; nothing else is executed yet."""
+    if name in PLAIN:
+        return PLAIN[name](spark, sf_dir, **parameters)
+    return query(spark, sf_dir, OPS[name](Spark(), **parameters))
+
+
+def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Spark SQL over the stored tables and the world's views."""
+    d = Spark()
+    sql = d.numbers(sql)
+    all_ = views(d)
+    for t in raw_tables(with_views(d, sql)):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    written = repeated(sql, all_)
+    stored: dict[str, str] = {}
+    for v in (v for v in all_ if v in written):
+        df = cut(spark.sql(with_views(d, f"SELECT * FROM {v}", stored)), v.strip("_"))
+        stored[v] = f"written_{v}{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(stored[v])
+    try:
+        return spark.sql(with_views(d, sql, stored))
+    finally:
+        for v in stored.values():  # the plan has what it needs of them
+            spark.catalog.dropTempView(v)
+
+
+def repeated(sql: str, all_: dict[str, str]) -> set[str]:
+    """Views to write: those that ``sql`` would read MENTIONS times or more, counting one read for each written view."""
+    count = lambda v, text: len(re.findall(rf"\b{v}\b", text))
+    reads: dict[str, int] = {}
+    for v in reversed(list(all_)):
+        reads[v] = count(v, sql) + sum(count(v, all_[u]) * (min(n, 1) if u in WRITTEN and n >= MENTIONS else n) for u, n in reads.items() if n)
+    return {v for v, n in reads.items() if v in WRITTEN and n >= MENTIONS}
+
+
+def _both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(query(spark, sf_dir, "SELECT in_id AS a, out_id AS b FROM edges_ UNION SELECT out_id, in_id FROM edges_"), "both")
+
+
+def graph_traversal(spark: SparkSession, sf_dir: str, start: str | None = None, depth: int = 2) -> DataFrame:
+    """Breadth-first: characters within ``depth`` undirected hops of ``start`` (by default the one with most ledger
+    rows), with the fewest hops. The edges are written once and read once a level; what was seen is taken out."""
+    edges = _both_ways(spark, sf_dir)
+    first = query(spark, sf_dir, "SELECT id FROM focus_") if start is None else spark.createDataFrame([(start,)], "id string")
+    seen = cut(first.select("id", F.lit(0).alias("hops")), "level0")
+    for h in range(1, depth + 1):
+        level = seen.where(F.col("hops") == h - 1).select(F.col("id").alias("a"))
+        found = edges.join(level, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
+        seen = seen.unionByName(cut(found.select("id", F.lit(h).alias("hops")), f"level{h}"))
+    return seen.where("hops > 0")
+
+
+def impact(spark: SparkSession, sf_dir: str, start: str | None = None, depth: int = 3) -> DataFrame:
+    """How many entities a change reaches at each distance, with the severity of that distance."""
+    n = graph_traversal(spark, sf_dir, start, depth).groupBy("hops").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row a level
+    severity = F.when(F.col("hops") == 1, "high").when(F.col("hops") == 2, "medium").otherwise("low")
+    return n.select("hops", "n", severity.alias("severity"), F.when(total > 10, "high").when(total > 3, "medium").otherwise("low").alias("overall"))
+
+
+def semantic_knowledge(spark: SparkSession, sf_dir: str, text: str = "the ransom was paid to the fleet", limit: int = 10) -> DataFrame:
+    """The knowledge items whose fact's vector is most like that of a text (cosine; ties go to the smaller id)."""
+    facts = query(spark, sf_dir, "SELECT id, owner, fact FROM knowledge_ WHERE fact IS NOT NULL")
+    asked = hash_vector(text)
+    if asked is None:
+        return facts.select("id", "owner", F.lit(0.0).alias("score")).limit(0)
+    score = F.aggregate(F.zip_with(embed("fact"), F.array(*[F.lit(x) for x in asked]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+    return facts.select("id", "owner", F.round(score, 6).alias("score")).where("score is not null").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact betweenness and closeness over the distinct directed edges of the world."""
-    views = with_views(Spark(), "SELECT in_id, out_id FROM edges_")
-    for t in raw_tables(views):
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    edges = spark.sql(views)
-    return centrality(table(spark, sf_dir, "characters").select("id"), edges)
+    return centrality(table(spark, sf_dir, "characters").select("id"), query(spark, sf_dir, "SELECT in_id, out_id FROM edges_"))
 
 
 def annotate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +113,7 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = c.crossJoin(F.broadcast(fact)).select("id", embed("text").alias("a"), embed(F.concat("text", F.lit(". Additionally, "), "fact")).alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
     delta = F.round(1 - dot, 6)
-    label = F.when(delta < 0.02, "negligible").when(delta < 0.05, "slight").when(delta < 0.1, "moderate").when(delta < 0.2, "strong").otherwise("fundamental")
-    return both.select("id", delta.alias("delta"), label.alias("label"))
+    return both.select("id", delta.alias("delta")).withColumn("label", F.expr(Spark().numbers(_graded("delta", WHAT_IF))))
 
 
 def theme_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +130,7 @@ def theme_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(v).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"))
 
 
-PLAIN = {"betweenness": betweenness, "annotate_names": annotate_names, "what_if": what_if, "theme_kmeans": theme_kmeans}
+PLAIN = {"graph_traversal": graph_traversal, "impact": impact, "semantic_knowledge": semantic_knowledge, "betweenness": betweenness, "annotate_names": annotate_names, "what_if": what_if, "theme_kmeans": theme_kmeans}
 
 
 def queries() -> dict:

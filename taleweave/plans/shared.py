@@ -46,10 +46,19 @@ def cut_parts(df: DataFrame, by: list[str], name: str = "stage") -> list[str]:
     return sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
 
 
-def drop(df_path: str, spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _at(path: str, spark: SparkSession) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(path: str, spark: SparkSession) -> bool:
+    where, p = _at(path, spark)
+    return where.exists(p)
+
+
+def drop(path: str, spark: SparkSession) -> None:
+    where, p = _at(path, spark)
+    where.delete(p, True)
 
 
 @atexit.register

@@ -34,7 +34,8 @@ def query_around(d: Spark, anchor: str = FOCUS, limit: int = 20):
 
 
 def _edge_vectors(d: Spark) -> str:
-    return f"SELECT o.vec_id AS observer, t.vec_id AS target, o.label AS kind, {d.plus('o.embedding', 't.embedding')} AS v FROM embeddings o JOIN embeddings t ON t.vec_id = o.vec_id + 1 OR t.vec_id = o.vec_id + 3"
+    one = lambda k: f"SELECT o.vec_id AS observer, t.vec_id AS target, o.label AS kind, {d.plus('o.embedding', 't.embedding')} AS v FROM embeddings o JOIN embeddings t ON t.vec_id = o.vec_id + {k}"
+    return f"{one(1)} UNION ALL {one(3)}"
 
 
 @op
@@ -56,7 +57,7 @@ def perspective_search(d: Spark, query: int = 0, kind: int = 3, limit: int = 10)
 def perception_shift(d: Spark):
     """How the gap between neighbouring series moves: first and last gap, and the trend (0.02)."""
     return f"""WITH g AS (SELECT x.series, x.step, 1 - {d.cosine('x.v', 'y.v')} AS gap FROM arc_ x JOIN arc_ y ON y.series = x.series + 2 AND y.step = x.step)
-        SELECT series, round(min_by(gap, step), 6) AS first, round(max_by(gap, step), 6) AS last, CASE WHEN max_by(gap, step) - min_by(gap, step) < -0.02 THEN 'clearer' WHEN max_by(gap, step) - min_by(gap, step) > 0.02 THEN 'more distorted' ELSE 'stable' END AS trend FROM g GROUP BY series"""
+        SELECT series, round(min_by(gap, step), 6) AS first, round(max_by(gap, step), 6) AS last, CASE WHEN max_by(gap, step) - min_by(gap, step) < -0.02 THEN 'converging' WHEN max_by(gap, step) - min_by(gap, step) > 0.02 THEN 'diverging' ELSE 'stable' END AS trend FROM g GROUP BY series"""
 
 
 @op
@@ -66,13 +67,6 @@ def semantic_graph_search(d: Spark, series: int = 4, hops: int = 2, limit: int =
         row_number() OVER (ORDER BY round({d.cosine('e.embedding', 'q.v')}, 6) DESC, e.vec_id) AS rn FROM embeddings e CROSS JOIN q WHERE abs(e.label - q.label) BETWEEN 1 AND {hops}) z WHERE rn <= {limit}"""
 
 
-@op
-def semantic_knowledge(d: Spark, words: tuple = ("ransom", "paid", "fleet"), limit: int = 10):
-    """Knowledge items by how many of the asked words they hold, shorter ones first."""
-    n = " + ".join(f"CASE WHEN lower(fact) LIKE '%{w}%' THEN 1 ELSE 0 END" for w in words)
-    return f"SELECT id, owner, n FROM (SELECT id, owner, {n} AS n, row_number() OVER (ORDER BY {n} DESC, length(fact), id) AS rn FROM knowledge_) z WHERE rn <= {limit} AND n > 0"
-
-
 @op
 def rank_correlation(d: Spark):
     """Spearman's correlation of two rankings of all vectors: by similarity to vector 0 and to vector 1."""

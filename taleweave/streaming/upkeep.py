@@ -11,8 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from taleweave.plans.shared import exists
+
 #: A regeneration of an entity within this time of the one before is dropped.
 DEBOUNCE_US = 2_000_000
+#: Ids of a micro-batch that are sent to all tasks.
+FEW_IDS = 100_000
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,6 +27,7 @@ def debounce(events: DataFrame, key: str, at: str, row_id: str, gap_us: int = DE
     """Events (key, row_id) whose key had no event within ``gap_us`` before. State is one long per key
     and goes when a key is idle; rows later than the watermark are dropped by Spark. Rows with a null
     key or time are left out."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,7 +41,7 @@ def debounce(events: DataFrame, key: str, at: str, row_id: str, gap_us: int = DE
                 kept.append(r)
             last = t if last is None else max(last, t)
         state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last) // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
+        state.setTimeoutTimestamp(max(int(last) // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"key": [str(k[0])] * len(kept), "row_id": pd.Series(kept, dtype="int64")})
 
     keyed = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
@@ -60,9 +65,11 @@ def regenerate(changes: DataFrame, embed, out: str, checkpoint: str):
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
         new = rows.groupBy("id").agg(F.max_by("composite_text", "at").alias("text"), F.max("at").alias("at")).withColumn("hash", F.xxhash64("text"))
-        try:
-            old = spark.read.parquet(out).groupBy("id").agg(F.max_by(F.struct("hash", "embedding"), "at").alias("o"))
-        except Exception:  # noqa: BLE001 - nothing has been written yet
+        if exists(out, spark):
+            # Only the snapshots of what changed now are gone through; a batch's ids are few beside all there are.
+            ids = F.broadcast(new.select("id")) if new.count() <= FEW_IDS else new.select("id")
+            old = spark.read.parquet(out).join(ids, "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("hash", "embedding"), "at").alias("o"))
+        else:
             old = spark.createDataFrame([], "id string, o struct<hash: long, embedding: array<float>>")
         due = new.join(old, "id", "left").where("o is null or o.hash <> hash")
         made = due.withColumn("embedding", embed("text"))
