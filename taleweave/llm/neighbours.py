@@ -1,6 +1,6 @@
 """The most similar vectors of every vector, by balanced posting lists.
 
-The centroids are fitted on a bounded sample; every vector is indexed. A vector goes to the list of
+The centroids are fitted on a bounded sample (MOST_SAMPLE); every vector is indexed. A vector goes to the list of
 its nearest centroid and, if it lies near a border, to further lists by the ratio of distances; the
 centroids are searched through an in-memory graph. As each vector is both a query and an entry, and
 finds what shares a list with it, one copy per list serves both. Inside a list all scores come from
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from taleweave.llm.vectors import Lists, pack, unit, unpack, usable
 
-#: Vectors that the centroids are fitted on, vectors that a list is to have, lists at most, rows of a block.
-SAMPLE, LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 16_384, 1_024, 16_384, 8_192
+#: Vectors that the centroids are fitted on: at least, and at most; up to there, two for each list.
+SAMPLE, MOST_SAMPLE = 16_384, 65_536
+#: Vectors that a list is to have, lists at most (from 33 million vectors on, lists grow), rows of a block.
+LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 1_024, 32_768, 8_192
 #: Lists of a vector at most, and how much farther than the nearest centroid they may be.
 COPIES, RATIO = 4, 0.05
 #: Margin of single precision below a threshold, settled in double precision.
@@ -42,8 +44,10 @@ def packed(rows: DataFrame, dims: int) -> DataFrame:
 
 
 def sample_of(vectors: DataFrame, dims: int, size: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """At most ``size`` of the packed vectors (id, vec), chosen by a hash of both, and their number."""
+    """Of the packed vectors (id, vec) ``size``, or two for each list that they will make, but at most MOST_SAMPLE,
+    chosen by a hash of both; and their number."""
     n = vectors.count()
+    size = max(size, min(MOST_SAMPLE, 2 * n // LIST_ROWS))
     bound = int(min(1.0, 1.1 * size / max(n, 1)) * 2**62)
     some = vectors.where(F.shiftrightunsigned(F.xxhash64("id", "vec"), 2) < bound)
     return unpack(some.select("vec").toArrow().column("vec"), dims)[:size], n

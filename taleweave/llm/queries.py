@@ -101,5 +101,26 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
 """
 
 
+# Brute force over all pairs, for small tables.
+_USABLE = """u AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM characters WHERE len(embedding) = 384 AND list_contains(list_transform(embedding, x -> x <> 0), true)
+    AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)),
+s AS (SELECT a.id, b.id AS other, max(round(list_cosine_similarity(a.v, b.v), 9)) AS score FROM u a JOIN u b ON a.id <> b.id GROUP BY a.id, b.id)"""
+_P4 = f"""WITH {_USABLE}, n AS (SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS r FROM s) WHERE r <= 5 AND score >= 0.7)"""
+_P1 = f"""WITH RECURSIVE {_USABLE},
+t AS (SELECT DISTINCT id, list_distinct(regexp_extract_all(lower(composite_text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM characters WHERE composite_text IS NOT NULL),
+link AS (SELECT id AS a, other AS b FROM s WHERE score >= 0.7 UNION
+    SELECT x.id, y.id FROM t x JOIN t y ON x.id NOT IN (SELECT id FROM u) AND y.id IN (SELECT id FROM u) AND len(list_intersect(x.w, y.w)) > 0
+    AND len(list_intersect(x.w, y.w)) >= 0.7 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))),
+both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+walk AS (SELECT a, b FROM both_ UNION SELECT w.a, n.b FROM walk w JOIN both_ n ON n.a = w.b),
+low AS (SELECT a AS id, least(a, min(b)) AS cluster_id FROM walk GROUP BY a)
+SELECT id, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n FROM low) WHERE n >= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": _P7}
+    return {
+        "p1_found": _P1,
+        "p4_neighbours": f"{_P4} SELECT id, other, score FROM n",
+        "p4_found": f"{_P4} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM n",
+        "p7_found": _P7,
+    }

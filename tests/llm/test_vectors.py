@@ -56,15 +56,16 @@ def test_usable_rows():
     assert usable(a[6:], 3)[0].tolist() == [0]
 
 
-def test_graph_search_finds_the_nearest_lists():
+def test_graph_search_finds_the_nearest_lists(monkeypatch):
     rng = np.random.default_rng(2)
+    monkeypatch.setattr(Lists, "PIVOTS", 16)
     centres = unit(rng.normal(size=(40, DIMS)))
     x = unit(np.repeat(centres, 60, axis=0) + 0.6 * rng.normal(size=(2400, DIMS)) / np.sqrt(DIMS))
     index = Lists.fit(x, 20, 10_000)
-    index.pivots = index.pivots[:16]
     q = x[::7]
     top, _ = index.search(q, 1)
-    assert (top[:, 0] == (q @ index.centroids.T).argmax(axis=1)).mean() >= 0.9
+    assert index.groups and (top[:, 0] == (q @ index.centroids.T).argmax(axis=1)).mean() >= 0.98
+    assert sorted(np.concatenate(index.groups)) == list(range(len(index.centroids)))
 
 
 def test_nearest_against_brute_force(spark):
