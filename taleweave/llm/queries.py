@@ -102,8 +102,8 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (g)
 
 
 # Brute force over all pairs, for small tables.
-_USABLE = """u AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM characters WHERE len(embedding) = 384 AND list_contains(list_transform(embedding, x -> x <> 0), true)
-    AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)),
+_USABLE = """u AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM characters WHERE len(embedding) = 384 AND len([x FOR x IN embedding IF x <> 0]) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT a.id, b.id AS other, max(round(list_cosine_similarity(a.v, b.v), 9)) AS score FROM u a JOIN u b ON a.id <> b.id GROUP BY a.id, b.id)"""
 _P4 = f"""WITH {_USABLE}, n AS (SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS r FROM s) WHERE r <= 5 AND score >= 0.7)"""
 _P1 = f"""WITH RECURSIVE {_USABLE},
