@@ -57,10 +57,14 @@ def versions(snapshots: list[DataFrame], parts: int | None = None) -> DataFrame:
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(s.count() for s in snapshots) // PART_ROWS))
     rows = rows.where(F.col("entity").isNotNull() & F.col("at_us").isNotNull() & F.col("payload").isNotNull())
     rows = rows.withColumns({"said_us": F.coalesce("said_us", F.lit(FIRST)), "tie": F.coalesce("tie", F.lit(""))})
+    # Spark drops constants from a sort; a writer that misses a column of its own there sorts anew by that alone,
+    # and the order of a run is lost. So runs are told by one column, or by none if there is only one.
+    by = ["run"] if len(snapshots) > 1 or "snapshot" in snapshots[0].columns else []
+    rows = rows.select((F.shiftleft(F.col("frame").cast("long"), 32) + F.col("snapshot")).alias("run"), *KEY, "payload")
     # Rows of one entity and moment fall into one part, as the bounds are over (entity, at_us).
-    sorted_ = rows.repartitionByRange(parts, "entity", "at_us").sortWithinPartitions("frame", "snapshot", *KEY)
+    sorted_ = rows.repartitionByRange(parts, "entity", "at_us").sortWithinPartitions(*by, *KEY)
     files: dict[int, list[str]] = {}
-    for f in cut_parts(sorted_, ["frame", "snapshot"], "snapshots"):
+    for f in cut_parts(sorted_, by, "snapshots"):
         files.setdefault(int(re.search(r"/part-(\d+)-[^/]*$", f)[1]), []).append(f)
     shared = spark.sparkContext.broadcast(files)
 
@@ -73,7 +77,7 @@ def versions(snapshots: list[DataFrame], parts: int | None = None) -> DataFrame:
     runs = cut(spark.range(0, parts, 1, parts).mapInPandas(merge, RUN), "runs")
     inner = runs.where("not edge").select("entity", "payload", "at_us", "to_us")
     # At most two rows per part: settled in one task, in the order of the parts.
-    edges = runs.where("edge").coalesce(1).sortWithinPartitions("part", "entity", "at_us")
+    edges = runs.where("edge").repartition(1).sortWithinPartitions("part", "entity", "at_us")
     settled = edges.mapInPandas(_settle, "entity string, payload string, at_us long, to_us long")
     return inner.unionByName(settled).select(
         "entity", "payload", F.col("at_us").alias("valid_from_us"), F.col("to_us").alias("valid_to_us")
@@ -81,12 +85,27 @@ def versions(snapshots: list[DataFrame], parts: int | None = None) -> DataFrame:
 
 
 def _batches(uri: str) -> Iterator[pa.Table]:
-    """The rows of one sorted run, a batch at a time."""
+    """The rows of one sorted run, a batch at a time; raises if they are not in order."""
     # Hadoop's names of local files and object stores, as Arrow has them.
     where, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri)))
     with where.open_input_file(path) as f:
-        for b in pq.ParquetFile(f).iter_batches(HELD_ROWS, columns=[*KEY, "payload"]):
-            yield pa.Table.from_batches([b])
+        yield from in_order((pa.Table.from_batches([b]) for b in pq.ParquetFile(f).iter_batches(HELD_ROWS, columns=[*KEY, "payload"])), uri)
+
+
+def in_order(tables: Iterator[pa.Table], name: str) -> Iterator[pa.Table]:
+    """The same tables; raises where a row comes before the one ahead of it."""
+    last = None
+    for t in tables:
+        rows = t if last is None else pa.concat_tables([last, t])
+        a, b = rows.slice(0, max(rows.num_rows - 1, 0)), rows.slice(1)
+        late = pc.less(b[KEY[-1]], a[KEY[-1]])
+        for k in reversed(KEY[:-1]):
+            late = pc.or_(pc.less(b[k], a[k]), pc.and_(pc.equal(b[k], a[k]), late))
+        if pc.any(late).as_py():
+            raise RuntimeError(f"run is not sorted: {name}")
+        if t.num_rows:
+            last = t.slice(t.num_rows - 1)
+            yield t
 
 
 def merged(runs: list[Iterator[pa.Table]]) -> Iterator[pa.Table]:

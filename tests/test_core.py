@@ -55,6 +55,26 @@ def test_versions(spark, parts):
     assert len(got) == len(set(got)) and set(got) == versions_by_hand(rows)
 
 
+@pytest.mark.parametrize("by", [["snapshot"], []])
+def test_runs_longer_than_a_batch_keep_their_order(spark, by):
+    n, entities = 150_000, 1_000  # 75 000 rows a run: more than HELD_ROWS
+    rows = spark.range(n).select(
+        F.format_string("e%04d", F.col("id") % entities).alias("entity"), F.expr("id div 1000").alias("at_us"), F.lit(0).cast("long").alias("said_us"),
+        F.format_string("p%d", F.expr("id div 2000")).alias("payload"), F.lit("t").alias("tie"), F.expr("cast(2020 + hash(id) % 2 as int)").alias("snapshot"),
+    ).orderBy(F.hash("id"))
+    got = {tuple(r) for r in history.versions([rows.select(*history.KEY, "payload", *by)], 1).collect()}
+    last = n // entities // 2 - 1
+    assert got == {(f"e{e:04d}", f"p{v}", 2 * v, 2 * v + 2 if v < last else -1) for e in range(entities) for v in range(last + 1)}
+
+
+def test_a_run_out_of_order_is_refused():
+    table = lambda *at: pa.table({"entity": ["a"] * len(at), "at_us": list(at), "said_us": [0] * len(at), "tie": [""] * len(at)})
+    assert len(list(history.in_order(iter([table(1, 2, 2), table(2, 3)]), "run"))) == 2
+    for tables in ([table(1, 3, 2)], [table(1, 3), table(2)]):
+        with pytest.raises(RuntimeError):
+            list(history.in_order(iter(tables), "run"))
+
+
 @pytest.mark.parametrize("size", [1, 3, 50])
 def test_merge_of_sorted_runs(size):
     rng = random.Random(size)
