@@ -31,12 +31,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taleweave.llm import neighbours
 from taleweave.llm.vectors import Lists, pack, two_means, unit, unpack
 from taleweave.operators.components import components, roots
-from taleweave.plans.shared import cut
+from taleweave.plans.shared import cut, release, written
 
 #: Vectors of a node that one task splits further, nodes split by passes over all vectors, sample for first centres.
 LOCAL_ROWS, MOST_NODES, SAMPLE = 8_192, 4_096, 8_192
@@ -48,6 +48,8 @@ TIED = 0.8
 SMALL = 64
 #: Members of a group that are compared with records without vectors in one task.
 BLOCK = 4_096
+#: Word sets of records without vectors that are sent in one turn, or as many as there are members if these are more.
+TURN_ROWS = 200_000
 #: Sizes of word sets that count as one band.
 BAND = 4
 #: Members that are compared pair by pair before the rest goes into a matrix product; words whose bits are held at once.
@@ -506,7 +508,7 @@ def _any_shared(words: np.ndarray, left: tuple, rows: np.ndarray, right: tuple,
     return hit
 
 
-def text_links(lacking: DataFrame, members: DataFrame, share: float) -> DataFrame:
+def text_links(lacking: DataFrame, members: DataFrame, share: float, turn_rows: int | None = None) -> DataFrame:
     """Links (a: record without a vector, b: part) where the record shares at least ``share`` of all
     distinct words with a member of the part. ``lacking``: id, words. ``members``: id, part, words."""
     counted = lacking.select(F.explode("words").alias("word")).groupBy("word").count()
@@ -535,15 +537,28 @@ def text_links(lacking: DataFrame, members: DataFrame, share: float) -> DataFram
     members = members.withColumn("part_h", F.xxhash64("part"))
     sizes = members.join(pairs.select("part_h").distinct(), "part_h", "left_semi").groupBy("part", "part_h").count()
     blocks = cut(sizes.select("part", "part_h", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "count"), "sizes")
-    # Buckets of about BLOCK members: small parts share one, a large part is spread over several.
-    total = blocks.agg(F.sum("count")).first()[0] or 0
-    buckets = max(1, -(-int(total) // BLOCK))
-    bucket = F.pmod(F.xxhash64("part", "block"), F.lit(buckets)).cast("int").alias("bucket")
+    total = int(blocks.agg(F.sum("count")).first()[0] or 0)
     spread = pairs.join(blocks, "part_h").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lhs = spread.select("id_h", "part", bucket).groupBy("bucket", "id_h").agg(F.collect_set("part").alias("parts"))
-    lhs = lhs.join(lacking.withColumn("id_h", F.xxhash64("id")), "id_h").select("bucket", "id", "words", "parts")
-    rhs = members.join(blocks.drop("part_h"), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(bucket, "part", "words")
-    return lhs.groupBy("bucket").cogroup(rhs.groupBy("bucket")).applyInArrow(_shared_words(share), "a string, b string")
+    # A record's words go to every bucket that holds a part it may belong to. That grows faster than the input, so it
+    # goes in turns, each with its share of the parts; what a turn exchanges is gone before the next begins.
+    sent = spread.select("id_h", _bucket(total)).distinct().count()
+    turns = max(1, -(-sent // (turn_rows or max(TURN_ROWS, total))))
+    found = None
+    for t in range(turns):
+        mine = F.pmod("part_h", F.lit(turns)) == t
+        lhs = spread.where(mine).select("id_h", "part", _bucket(total // turns)).groupBy("bucket", "id_h").agg(F.collect_set("part").alias("parts"))
+        lhs = lhs.join(lacking.withColumn("id_h", F.xxhash64("id")), "id_h").select("bucket", "id", "words", "parts")
+        rhs = members.where(mine).join(blocks.where(mine).drop("part_h"), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rhs = rhs.select(_bucket(total // turns), "part", "words")
+        links = lhs.groupBy("bucket").cogroup(rhs.groupBy("bucket")).applyInArrow(_shared_words(share), "a string, b string")
+        links = links if turns == 1 else cut(links.distinct(), "turn")
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def _bucket(members: int) -> Column:
+    """Buckets of about BLOCK members: small parts share one, a large part is spread over several."""
+    return F.pmod(F.xxhash64("part", "block"), F.lit(max(1, -(-members // BLOCK)))).cast("int").alias("bucket")
 
 
 def clusters(
@@ -560,7 +575,9 @@ def clusters(
     several texts or vectors is similar by any. Empty input gives no rows.
     """
     rows = rows.where("id is not null").select("id", "embedding", "composite_text")
-    vectors = neighbours.packed(rows, dims).persist(StorageLevel.MEMORY_AND_DISK)
+    mark = written()
+    # What does not fit into memory is read from the input again: on disk it would take about as much as the input.
+    vectors = neighbours.packed(rows, dims).persist(StorageLevel.MEMORY_ONLY)
     sample, n = neighbours.sample_of(vectors, dims, SAMPLE)
     tree, counts = grow(vectors, sample, dims, local_rows, seed)
     blocks = {i: -(-n // local_rows) for i, n in counts.items() if n > local_rows}
@@ -576,6 +593,8 @@ def clusters(
         _local(least, dims, seed), "id string, part string, leaf string, typical double, vec binary"
     )
     found = cut(found, "leaves")
+    if not exact:
+        vectors.unpersist()
     links = [f for f in (_between(found, least, dims), _exactly(vectors, found, tree, blocks, least, dims) if exact and len(counts) + len(blocks) > 1 else None) if f is not None]
     # Records without a vector, by their words. A text is read, and its words are found, once.
     texts = rows.where("composite_text is not null").select("id", "composite_text").join(found.select("id", "part").distinct(), "id", "left")
@@ -596,6 +615,7 @@ def clusters(
     )
     all_ = cut(nodes.unionByName(late).groupBy("id", "component").agg(F.max_by("leaf", "typical").alias("leaf"), F.max("typical").alias("typical")), "grouped")
     vectors.unpersist()
+    release(mark, all_)
     named = all_.groupBy("component").agg(F.min("id").alias("cluster_id"), F.countDistinct("id").alias("n")).where(F.col("n") >= smallest)
     return all_.join(named, "component").select("id", "cluster_id", "typical", "leaf")
 

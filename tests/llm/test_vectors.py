@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from taleweave.llm import clusters, neighbours
+from taleweave.plans import shared
 from taleweave.llm.vectors import Lists, pack, unit, unpack, usable
 
 DIMS = 32
@@ -181,3 +182,30 @@ def test_leaves_are_compact():
     assert sorted(i for at, _, _ in leaves for i in at) == list(range(300))
     assert all((x[at] @ x[m] >= 0.7 - 1e-6).all() for at, m, _ in leaves)
     assert any(len(at) >= 40 for at, _, _ in leaves)
+
+
+def test_word_sets_in_turns_give_the_same_links(spark):
+    rng = np.random.default_rng(3)
+    sets = [sorted({int(w) for w in rng.integers(0, 40, 12)}) for _ in range(60)]
+    sets += [s[:-1] for s in sets[:20]] + sets[20:30]
+    rows = [(f"r{i:03d}", f"part{i % 17}", s) for i, s in enumerate(sets)]
+    lacking = spark.createDataFrame([(i, w) for i, _, w in rows[60:]], "id string, words array<long>")
+    members = spark.createDataFrame(rows[:60], "id string, part string, words array<long>")
+    alike = lambda a, b: len({*a} & {*b}) >= 0.7 * len({*a} | {*b})
+    want = {(i, p) for i, _, w in rows[60:] for _, p, v in rows[:60] if alike(w, v)}
+    for turn_rows in (5, None):
+        before = shared.written()
+        got = {tuple(r) for r in clusters.text_links(lacking, members, 0.7, turn_rows).collect()}
+        assert got == want and len(want) > 20
+        assert any("taleweave-turn-" in path for _, path in shared._written[before:]) == (turn_rows == 5)
+
+
+def test_clusters_leave_only_their_result_behind(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(5, 8)), 4, axis=0) + 0.01 * rng.normal(size=(20, 8))
+    rows = spark.createDataFrame([(f"c{i:02d}", v.tolist(), None) for i, v in enumerate(x)], "id string, embedding array<float>, composite_text string")
+    before = shared.written()
+    out = clusters.clusters(rows, dims=8)
+    left = [path.rpartition("/")[2] for _, path in shared._written[before:]]
+    assert len(left) == 1 and left[0].startswith("taleweave-grouped-")
+    assert {r["id"] for r in out.collect()} == {f"c{i:02d}" for i in range(20)}
