@@ -1,11 +1,13 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from taleweave.functions.links import canonical_certainty, canonical_link, link_key
 from taleweave.operators import hierarchy, history, orphans
-from taleweave.operators.betweenness import brandes
+from taleweave.operators.betweenness import brandes, centrality, dependencies
 from taleweave.operators.components import components
 from pyspark.sql import functions as F
 
@@ -176,3 +178,49 @@ def test_brandes_star_and_line():
     assert total == [6.0, 0, 0, 0] and near[0] == (3, 3) and near[1] == (3, 5)
     line = [[1], [2], []]
     assert brandes(line, [0, 1, 2])[0] == [0, 1.0, 0]
+
+
+def as_arrays(adjacent):
+    return np.cumsum([0, *map(len, adjacent)]), np.array([w for a in adjacent for w in a], dtype=np.int64)
+
+
+def hub_graph(n, rng):
+    """Node 0 is linked with a third of all, like the character that holds a tenth of the ledger."""
+    adjacent = [sorted({rng.randrange(n) for _ in range(rng.randrange(6))} - {v} | ({0} if v and rng.random() < 0.3 else set())) for v in range(n)]
+    adjacent[0] = sorted(rng.sample(range(1, n), n // 3))
+    return adjacent
+
+
+@pytest.mark.parametrize("n", [3, 40, 700])
+def test_searches_over_arrays_give_the_same(n):
+    adjacent = hub_graph(n, random.Random(n))
+    adjacent[-1] = []
+    total, near = brandes(adjacent, list(range(n)))
+    got, got_near = dependencies(*as_arrays(adjacent), list(range(n)))
+    assert got_near == near and np.allclose(got, total, rtol=1e-12, atol=1e-12)
+
+
+def test_more_shortest_paths_than_a_double_holds():
+    # 1 100 diamonds in a row: 2 ** 1100 paths from end to end.
+    adjacent = [x for i in range(1100) for x in ([3 * i + 1, 3 * i + 2], [3 * i + 3], [3 * i + 3])] + [[]]
+    got, near = dependencies(*as_arrays(adjacent), [0])
+    assert np.isfinite(got).all() and got[1] == (len(adjacent) - 1 - 2) / 2 and near[0][0] == len(adjacent) - 1
+
+
+def test_a_search_of_a_large_graph_is_quick():
+    adjacent = hub_graph(30_000, random.Random(1))
+    arrays, sources = as_arrays(adjacent), list(range(1, 9))
+    began = time.thread_time()
+    total, near = brandes(adjacent, sources)
+    by_node, began = time.thread_time() - began, time.thread_time()
+    got, got_near = dependencies(*arrays, sources)
+    assert time.thread_time() - began < by_node / 4
+    assert got_near == near and np.allclose(got, total, rtol=1e-12, atol=1e-9)
+
+
+def test_centrality(spark):
+    nodes = spark.createDataFrame([(x,) for x in ["a", "b", "c", "d", None, "a"]], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("c", "gone"), (None, "a")], "in_id string, out_id string")
+    got = {r.id: (r.betweenness, r.closeness) for r in centrality(nodes, edges).collect()}
+    assert got == {"a": (0.0, round(2 / 3 * 2 / 3, 9)), "b": (round(1 / 6, 9), round(1 / 3, 9)), "c": (0.0, 0.0), "d": (0.0, 0.0)}
+    assert centrality(nodes.limit(0), edges).collect() == []
