@@ -192,10 +192,15 @@ def possible_sources(d: Spark):
 
 def _scenes_since(d: Spark) -> str:
     # Counting per month first keeps the ordered running sum on a few rows; only the month itself is
-    # compared row by row.
+    # compared row by row, in Spark by a running count over beliefs and scenes in order of time.
+    within = f"""SELECT h.id, count(s.id) AS n FROM held_ h LEFT JOIN scenes_ s ON {d.month('s.created_at')} = {d.month('h.learned_at')} AND s.created_at > h.learned_at GROUP BY h.id"""
+    if d.name == "spark":
+        within = f"""SELECT id, sum(later) AS n FROM (SELECT id, belief, sum(scene) OVER (PARTITION BY m ORDER BY t DESC, belief DESC) AS later FROM (
+            SELECT id, learned_at AS t, {d.month('learned_at')} AS m, 1 AS belief, 0 AS scene FROM held_
+            UNION ALL SELECT NULL, created_at, {d.month('created_at')}, 0, CASE WHEN id IS NULL THEN 0 ELSE 1 END FROM scenes_) z) y WHERE belief = 1 GROUP BY id"""
     return f"""per AS (SELECT {d.month('created_at')} AS m, count(*) AS n FROM scenes_ GROUP BY 1), months AS (SELECT DISTINCT {d.month('learned_at')} AS m FROM held_),
         after_month AS (SELECT q.m, coalesce(sum(p.n), 0) AS after_m FROM months q LEFT JOIN per p ON p.m > q.m GROUP BY q.m),
-        within AS (SELECT h.id, count(s.id) AS n FROM held_ h LEFT JOIN scenes_ s ON {d.month('s.created_at')} = {d.month('h.learned_at')} AND s.created_at > h.learned_at GROUP BY h.id),
+        within AS ({within}),
         since AS (SELECT h.*, cast(w.n + a.after_m AS BIGINT) AS scenes_since FROM held_ h JOIN within w ON w.id = h.id JOIN after_month a ON a.m = {d.month('h.learned_at')})"""
 
 
@@ -222,9 +227,26 @@ def dramatic_irony(d: Spark, character: str = FOCUS, min_scenes: int = 3):
     return _irony(d, min_scenes, f"s.in_id = {character}")
 
 
+def irony_known(d: Spark, least: int) -> str:
+    """What each knows for long enough, with its weight but for tension; ``irony_totals`` reads it as known_."""
+    return f"""WITH {_scenes_since(d)}, law AS (SELECT entity_id, min(enforcement) AS enforcement FROM applies_ GROUP BY entity_id)
+        SELECT s.in_id AS knower, s.out_id AS target, CASE WHEN s.scenes_since >= 5 THEN 1 ELSE 0 END AS high,
+               s.scenes_since + CASE l.enforcement WHEN 'strict' THEN 3 WHEN 'warning' THEN 1 ELSE 0 END AS weight
+        FROM since s LEFT JOIN law l ON l.entity_id = s.out_id WHERE s.certainty = 'knows' AND s.scenes_since >= {least} AND s.out_id IS NOT NULL"""
+
+
 @op
 def irony_totals(d: Spark, min_scenes: int = 3):
     """The same over all characters, summed up per pair of knower and unknower."""
+    if d.name == "spark":
+        # All that the knower knows, less what the unknower holds or is: what one knows is never paired with all they perceive.
+        return f"""WITH whole AS (SELECT knower, count(*) AS n, sum(high) AS n_high, sum(weight) AS weight FROM known_ GROUP BY knower),
+            less AS (SELECT knower, unknower, count(*) AS n, sum(high) AS n_high, sum(weight) AS weight FROM (
+                     SELECT k.knower, h.in_id AS unknower, k.high, k.weight FROM known_ k JOIN held_ h ON h.out_id = k.target WHERE h.in_id <> h.out_id
+                     UNION ALL SELECT knower, target, high, weight FROM known_ WHERE target LIKE 'character:%') z GROUP BY knower, unknower)
+            SELECT p.in_id AS knower, p.out_id AS unknower, w.n - coalesce(x.n, 0) AS n, w.n_high - coalesce(x.n_high, 0) AS n_high,
+                   round(w.weight - coalesce(x.weight, 0) + (w.n - coalesce(x.n, 0)) * CASE WHEN p.tension >= 7 THEN 3 WHEN p.tension >= 4 THEN 1.5 ELSE 0 END, 3) AS weight
+            FROM perceives_ p JOIN whole w ON w.knower = p.in_id LEFT JOIN less x ON x.knower = p.in_id AND x.unknower = p.out_id WHERE w.n > coalesce(x.n, 0)"""
     inner = _irony(d, min_scenes, "1 = 1")
     head, tail = inner.rsplit("SELECT knower, unknower, target", 1)
     return f"{head}, found AS (SELECT knower, unknower, target{tail}) SELECT knower, unknower, count(*) AS n, sum(CASE WHEN signal = 'high' THEN 1 ELSE 0 END) AS n_high, round(sum(weight), 3) AS weight FROM found GROUP BY knower, unknower"

@@ -1,5 +1,6 @@
 """Operations against small worlds whose rows are worked out by hand or by brute force."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -139,3 +140,21 @@ def test_influence_and_impact_of_three_hops(spark):
         hops |= dict.fromkeys(level, h)
     want = {(h, n, s) for h, s in ((1, "high"), (2, "medium"), (3, "low")) if (n := sum(x == h for x in hops.values()))}
     assert {(r.hops, r.n, r.severity) for r in run(spark, SF, "impact").collect()} == want and len(want) == 3
+
+
+def test_irony_totals_without_pairing_beliefs_and_scenes(spark, world):
+    a, b, c = "character:c000a", "character:c000b", "character:c0001"
+    sf = world(
+        scenes=[{"id": f"scene:s{i}", "created_at": at} for i, at in enumerate([*map(day, range(1, 7)), datetime(2024, 2, 1)])],
+        knowledge=[{"id": "knowledge:k0028", "character": a, "fact": "x"}, {"id": "knowledge:k0002", "character": a, "fact": "y"}],
+        part=[{"p_brand": "Brand#13", "p_type": "STEEL"}],  # governs k0028 strictly
+        knows=[{"id": f"knows:w{i}", "in_id": x, "out_id": y, "certainty": z, "learned_at": day(n), "created_at": day(n)} for i, (x, y, z, n) in enumerate([
+            (a, "knowledge:k0028", "knows", 1), (a, "knowledge:k0002", "knows", 3), (a, b, "knows", 1), (a, c, "knows", 1), (b, "knowledge:k0028", "suspects", 1)])],
+    )
+    got = run(spark, sf, "irony_totals")
+    # After day 1 six scenes, after day 3 four. b holds k0028; a's tension with b is 8, with c none.
+    assert sorted(tuple(r) for r in got.collect()) == [(a, c, 3, 2, 19.0), (a, b, 2, 1, 16.0)]
+    for name in ("irony_totals", "scenes_since"):
+        text = run(spark, sf, name)._jdf.queryExecution().toString()
+        assert not re.search(r"created_at#\d+ > learned_at#\d+", text)
+    assert not re.search(r"scenes_since#\d+", got._jdf.queryExecution().toString())  # beliefs summed up before they meet who is perceived
