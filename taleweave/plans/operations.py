@@ -286,6 +286,48 @@ def narrative_tensions(d: Spark, min_severity: float = 0.0):
         WHERE t.mean + 0.03 * coalesce(e.tension, 0) >= {min_severity}"""
 
 
+#: From so many pairs with a signal of loyalty on, those of one hearer are not listed before they are a result.
+HUB_PAIRS = 100_000
+#: Tasks that list them.
+HUB_TASKS = 96
+
+
+def tension_steps() -> dict[str, str]:
+    """Tables that ``tensions`` reads, in order. A hub is a hearer whose fond and hostile tellers make many pairs; a side is
+    how one teller stands to all hubs, and faces another side if some hub has a signal between the two."""
+    facing = lambda x, y: f"f.side = least({x}, {y}) AND f.other = greatest({x}, {y})"
+    return {
+        "teller_": "SELECT out_id AS hearer, in_id AS teller, CASE WHEN rel_type IN ('ally', 'friend') THEN 1 ELSE 0 END AS fond FROM relates_ WHERE rel_type IN ('ally', 'friend', 'rival', 'enemy')",
+        "hub_": f"SELECT hearer FROM teller_ GROUP BY hearer HAVING sum(fond) * sum(1 - fond) >= {HUB_PAIRS}",
+        "side_": "SELECT teller, array_join(array_sort(collect_list(hearer || CASE fond WHEN 1 THEN '+' ELSE '-' END)), ' ') AS side FROM teller_ WHERE hearer IN (SELECT hearer FROM hub_) GROUP BY teller",
+        "facing_": """WITH marks AS (SELECT side, mark FROM (SELECT DISTINCT side FROM side_) z LATERAL VIEW explode(split(side, ' ')) ex AS mark)
+            SELECT least(x.side, y.side) AS side, greatest(x.side, y.side) AS other, count(*) AS n FROM (SELECT * FROM marks WHERE right(mark, 1) = '+') x
+            JOIN (SELECT * FROM marks WHERE right(mark, 1) = '-') y ON left(x.mark, length(x.mark) - 1) = left(y.mark, length(y.mark) - 1) GROUP BY 1, 2""",
+        # Every pair with a signal but for those of hubs, or with a tension, and what hubs add to it.
+        "near_": f"""WITH light AS (SELECT t.* FROM teller_ t LEFT ANTI JOIN hub_ h ON h.hearer = t.hearer),
+            found AS (SELECT least(in_id, out_id) AS a, greatest(in_id, out_id) AS b, tension, 0 AS denial, 0 AS contradiction, 0 AS loyalty FROM perceives_
+                UNION ALL SELECT least(k.in_id, w.in_id), greatest(k.in_id, w.in_id), NULL, CASE w.certainty WHEN 'denies' THEN 1 ELSE 0 END, CASE w.certainty WHEN 'denies' THEN 0 ELSE 1 END, 0
+                FROM (SELECT in_id, out_id FROM held_ WHERE certainty = 'knows') k JOIN held_ w ON w.out_id = k.out_id AND w.in_id <> k.in_id AND w.certainty IN ('denies', 'believes_wrongly')
+                UNION ALL SELECT least(x.teller, y.teller), greatest(x.teller, y.teller), NULL, 0, 0, 1 FROM light x JOIN light y ON y.hearer = x.hearer WHERE x.fond = 1 AND y.fond = 0),
+            pair AS (SELECT a, b, max(tension) AS tension, sum(denial) AS denial, sum(contradiction) AS contradiction, sum(loyalty) AS loyalty FROM found GROUP BY a, b)
+            SELECT p.a, p.b, p.tension, CASE WHEN p.tension >= 7 THEN 1 ELSE 0 END AS edge, p.denial, p.contradiction, p.loyalty + coalesce(f.n, 0) AS loyalty, f.n AS hub,
+                   CASE WHEN x.side <= y.side THEN p.a ELSE p.b END AS facer, CASE WHEN x.side <= y.side THEN p.b ELSE p.a END AS faced
+            FROM pair p LEFT JOIN side_ x ON x.teller = p.a LEFT JOIN side_ y ON y.teller = p.b LEFT JOIN facing_ f ON {facing('x.side', 'y.side')}""",
+        "facer_": """SELECT s.teller, f.other, f.n, e.known FROM side_ s JOIN facing_ f ON f.side = s.side
+            LEFT JOIN (SELECT facer, collect_set(faced) AS known FROM near_ WHERE hub IS NOT NULL GROUP BY facer) e ON e.facer = s.teller""",
+    }
+
+
+def tensions(min_severity: float = 0.0) -> str:
+    """As ``narrative_tensions``. Pairs that only hubs make are listed by each teller over those it faces, without a shuffle."""
+    mean = "(edge * coalesce(tension, 0) / 10.0 + denial * 0.8 + contradiction * 0.9 + loyalty * 0.8) / (edge + denial + contradiction + loyalty) + 0.03 * coalesce(tension, 0)"
+    return f"""SELECT a, b, cast(edge + denial + contradiction + loyalty AS BIGINT) AS n_signals, CASE WHEN contradiction >= greatest(denial, edge, loyalty) THEN 'contradiction'
+        WHEN denial >= greatest(edge, loyalty) THEN 'denial' WHEN edge >= loyalty THEN 'edge' ELSE 'loyalty' END AS kind, round(least(1.0, greatest(0.0, {mean})), 6) AS severity
+        FROM near_ WHERE edge + denial + contradiction + loyalty > 0 AND {mean} >= {min_severity}
+        UNION ALL SELECT /*+ BROADCAST(y) */ least(x.teller, y.teller), greatest(x.teller, y.teller), x.n, 'loyalty', 0.8 FROM (SELECT /*+ REPARTITION({HUB_TASKS}) */ * FROM facer_) x
+        JOIN side_ y ON y.side = x.other WHERE 0.8 >= {min_severity} AND (x.known IS NULL OR NOT array_contains(x.known, y.teller))"""
+
+
 @op
 def character_features(d: Spark):
     """Counts that roles are inferred from."""

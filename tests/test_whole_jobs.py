@@ -5,8 +5,9 @@ from datetime import datetime
 
 import pytest
 
+from taleweave.plans import operations
 from taleweave.plans.dialect import Spark
-from taleweave.plans.registry import run
+from taleweave.plans.registry import query, run
 from taleweave.plans.world import raw_tables, with_views
 
 SF = "/root/testdata/sf0.001"
@@ -158,3 +159,22 @@ def test_irony_totals_without_pairing_beliefs_and_scenes(spark, world):
         text = run(spark, sf, name)._jdf.queryExecution().toString()
         assert not re.search(r"created_at#\d+ > learned_at#\d+", text)
     assert not re.search(r"scenes_since#\d+", got._jdf.queryExecution().toString())  # beliefs summed up before they meet who is perceived
+
+
+@pytest.mark.parametrize("pairs", [1, 4, 100_000])
+def test_narrative_tensions_lists_the_pairs_of_hubs_once(spark, world, monkeypatch, pairs):
+    monkeypatch.setattr(operations, "HUB_PAIRS", pairs)
+    hubs, tellers = [f"character:c{x}" for x in ("0f00", "0f01", "0f02")], [f"character:c{i:04x}" for i in range(1, 30)]
+    told = [(h, t) for i, h in enumerate(hubs) for t in tellers[i * 3 :]]
+    rows = [{"id": f"knows:w{i}", "in_id": h, "out_id": "knowledge:k0001", "certainty": "uncertain", "source_character": t, "learned_at": day(1), "created_at": day(1)} for i, (h, t) in enumerate(told)]
+    rows += [{"id": f"knows:v{i}", "in_id": t, "out_id": o, "certainty": c, "learned_at": day(1), "created_at": day(1)} for i, (t, o, c) in enumerate(
+        [(a, b, "knows") for a in tellers[:6] for b in tellers[4:12]] + [(t, "knowledge:k0002", c) for t, c in zip(tellers, ["knows", "denies", "believes_wrongly"] * 3)])]
+    sf = world(knows=rows)
+    got = run(spark, sf, "narrative_tensions")
+    want = query(spark, sf, operations.OPS["narrative_tensions"](Spark()))  # signal by signal
+    assert got.dtypes == want.dtypes
+    found = sorted(tuple(r) for r in got.collect())
+    assert found == sorted(tuple(r) for r in want.collect()) and {r[3] for r in found} >= {"loyalty", "contradiction", "edge"} and max(r[2] for r in found) > 2
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" in want._jdf.queryExecution().toString() and "Window" not in plan  # no pair is ranked or exchanged
+    assert all(float(r[4]) >= 0.85 for r in run(spark, sf, "narrative_tensions", min_severity=0.85).collect())
