@@ -46,18 +46,19 @@ SPLIT_ROWS, TRIES = 16, 3
 TIED = 0.8
 #: Rows of a node that are split by their cosines alone.
 SMALL = 64
-#: Members of a group that are compared with records without vectors in one task.
-BLOCK = 4_096
+#: Members of a group that are compared with records without vectors in one task, and such records at most; the pairs of
+#: a record and a part that are compared at once.
+BLOCK, ASKERS, PAIRS = 4_096, 4_096, 262_144
 #: Word sets of records without vectors that are sent in one turn, or as many as there are members if these are more.
 TURN_ROWS = 200_000
-#: Sizes of word sets that count as one band.
-BAND = 4
+#: Sizes of word sets that count as one band; 64-bit numbers of a word set's signature.
+BAND, SIGNS = 4, 4
 #: Members that are compared pair by pair before the rest goes into a matrix product; words whose bits are held at once.
 TRIED, VOCABULARY = 4, 8_192
 #: Words in at least this share of the records without vectors come last in the order of the prefix filter.
 COMMON = 0.002
-#: Words of the records without vectors that are sent to all tasks as a filter (8 bytes each).
-FILTER_WORDS = 2_000_000
+#: Bits of the filter of asked words that all tasks hold; rows whose words a task takes at once.
+FILTER_BITS, WORD_ROWS = 2**27, 1_024
 
 
 class Tree:
@@ -352,10 +353,16 @@ def _visited(least: float, dims: int):
     return go
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, WORD_ROWS):
+            yield b.slice(lo, WORD_ROWS)
+
+
 def word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, part and composite_text to id, part and the text's distinct words (runs of letters and digits, case
     ignored) as 64-bit hashes; texts without words are left out."""
-    for b in batches:
+    for b in _pieces(batches):
         words = pc.split_pattern_regex(pc.utf8_lower(b.column("composite_text")), r"[^\pL\pN]+")
         row = np.repeat(np.arange(b.num_rows), np.diff(words.offsets.to_numpy()))
         coded = words.flatten().dictionary_encode()
@@ -370,19 +377,26 @@ def word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("part").take(take), lists], names=["id", "part", "words"])
 
 
+SIGNATURE = [f"sign{i}" for i in range(SIGNS)]
+
+
 def _first_words(shared, share: float, asks: bool):
     """Each word set's first words in the common order, as far as any partner could need them: key, word, its
-    position (from 1), the set's size, and the band of sizes (``BAND`` wide) of the word set that holds it.
+    position (from 1), the set's size, the band of sizes (``BAND`` wide) of the word set that holds it, and the set's
+    signature: a bit for each value that its words' hashes leave modulo 64 ``SIGNS``.
     A set that ``asks`` names them for each band that a partner may be in, no more than that band needs: two
     sets of about one size must agree on one of few, rare words, and only unlike sizes need further ones."""
     common, counts, wanted = shared.value
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             column = b.column("words")
             size = np.diff(column.offsets.to_numpy())
             words = column.flatten().to_numpy()
             row = np.repeat(np.arange(len(size)), size)
+            flags = np.zeros((len(size), 64 * SIGNS), bool)
+            flags[row, words & (64 * SIGNS - 1)] = True
+            signs = np.packbits(flags, axis=1).view(np.int64)
             rank = np.zeros(len(words), np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, words), len(common) - 1)
@@ -392,8 +406,8 @@ def _first_words(shared, share: float, asks: bool):
             n = size[row]
             keep = np.flatnonzero(pos <= n - np.ceil(share * n - 1e-9).astype(np.int64) + 1)
             if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, words[keep]), max(len(wanted) - 1, 0))
-                keep = keep[wanted[at] == words[keep]] if len(wanted) else keep[:0]
+                low = words[keep] & (FILTER_BITS - 1)
+                keep = keep[(wanted[low >> 3] >> (low & 7) & 1) > 0]
             band = n[keep] // BAND
             if asks:
                 low, high = np.ceil(share * n[keep] - 1e-9).astype(np.int64), np.floor(n[keep] / share + 1e-9).astype(np.int64)
@@ -404,15 +418,23 @@ def _first_words(shared, share: float, asks: bool):
                 least = np.ceil(share / (1 + share) * (n[keep] + np.maximum(low, band * BAND)) - 1e-9).astype(np.int64)
                 early = pos[keep] <= n[keep] - least + 1
                 keep, band = keep[early], band[early]
-            keys = b.column("key").to_numpy()[row[keep]]
+            at = row[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(words[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(band.astype(np.int32))],
-                names=["key", "word", "pos", "size", "band"],
+                [pa.array(b.column("key").to_numpy()[at]), pa.array(words[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(band.astype(np.int32)), *(pa.array(c[at]) for c in signs.T)],
+                names=["key", "word", "pos", "size", "band", *SIGNATURE],
             )
 
     return go
 
 
+def _bits(words: DataFrame) -> np.ndarray:
+    """A bit for each value that ``word`` leaves modulo ``FILTER_BITS``, eight to a byte, the lowest first."""
+    got = words.groupBy(F.expr(f"cast((word & {FILTER_BITS - 1}) >> 5 AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(word & 31 AS int)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, "<i4")
+    bits[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return bits.view(np.uint8)
+
+
 def _shared_words(share: float):
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """left: records without a vector and the parts each may belong to; right: members of parts."""
@@ -428,13 +450,14 @@ def _shared_words(share: float):
         asker = np.repeat(np.arange(left.num_rows), np.diff(asked.offsets.to_numpy()))
         # The first members decide most, pair by pair; what they leave open in larger parts goes part by part.
         n = (bounds[1:] - bounds[:-1])[wanted]
-        many = np.minimum(n, TRIED)
-        pair = np.repeat(np.arange(len(wanted)), many)
-        first = members[bounds[wanted[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)]
-        both = _in_both(word, (starts[0], sizes[0]), asker[pair], (starts[1], sizes[1]), first)
-        either = sizes[0][asker[pair]] + sizes[1][first] - both
         hit = np.zeros(len(wanted), bool)
-        hit[pair[both >= share * either - 1e-6]] = True
+        for lo in range(0, len(wanted), PAIRS):
+            many = np.minimum(n[lo : lo + PAIRS], TRIED)
+            pair = np.repeat(np.arange(lo, lo + len(many)), many)
+            first = members[bounds[wanted[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)]
+            both = _in_both(word, (starts[0], sizes[0]), asker[pair], (starts[1], sizes[1]), first)
+            either = sizes[0][asker[pair]] + sizes[1][first] - both
+            hit[pair[both >= share * either - 1e-6]] = True
         open_ = np.flatnonzero(~hit & (n > TRIED))
         open_ = open_[np.argsort(wanted[open_], kind="stable")]
         for lo, hi in zip(*_cuts(wanted[open_])):
@@ -518,21 +541,21 @@ def text_links(lacking: DataFrame, members: DataFrame, share: float, turn_rows:
     order = ranked.column("word").to_numpy(), ranked.column("count").to_numpy()
     sc = lacking.sparkSession.sparkContext
     # Ids and parts are met by their hashes; should two agree, a comparison too many is made below.
-    entry = "key long, word long, pos int, size int, band int"
+    entry = "key long, word long, pos int, size int, band int" + "".join(f", {c} long" for c in SIGNATURE)
     asking = lacking.select(F.xxhash64("id").alias("key"), "words")
-    left = cut(asking.mapInArrow(_first_words(sc.broadcast((*order, None)), share, True), entry).distinct(), "prefixes")
-    vocabulary = left.select("word").distinct()
-    wanted = None
-    if vocabulary.count() <= FILTER_WORDS:  # otherwise the join below does it
-        wanted = np.sort(vocabulary.toArrow().column("word").to_numpy())
-    right = members.select(F.xxhash64("part").alias("key"), "words").mapInArrow(_first_words(sc.broadcast((*order, wanted)), share, False), entry)
-    right = right.groupBy("key", "word", "size", "band").agg(F.min("pos").alias("pos"))
+    left = cut(asking.distinct().mapInArrow(_first_words(sc.broadcast((*order, None)), share, True), entry), "prefixes")
+    right = members.select(F.xxhash64("part").alias("key"), "words").mapInArrow(_first_words(sc.broadcast((*order, _bits(left))), share, False), entry)
+    right = right.groupBy("key", "word", "size", "band", *SIGNATURE).agg(F.min("pos").alias("pos"))
     x, y = left.alias("x"), right.alias("y")
     # The words two sets must share, by their sizes; the first of them comes early enough in both.
     least = F.ceil(F.lit(share / (1 + share)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     early = (F.col("x.pos") <= F.col("x.size") - least + 1) & (F.col("y.pos") <= F.col("y.size") - least + 1)
     enough = F.least(F.col("x.size"), F.col("y.size")) >= least
-    on = (F.col("x.word") == F.col("y.word")) & (F.col("x.band") == F.col("y.band")) & early & enough
+    # Each bit in which the signatures differ is a word, and another one, that is in one set only. Most that share but
+    # frequent words end here; without that the pairs grow with the square of the input.
+    unlike = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNATURE)
+    near = unlike <= (F.col("x.size") + F.col("y.size")) * F.lit((1 - share) / (1 + share)) + 1e-6
+    on = (F.col("x.word") == F.col("y.word")) & (F.col("x.band") == F.col("y.band")) & near & early & enough
     pairs = cut(x.join(y, on).select(F.col("x.key").alias("id_h"), F.col("y.key").alias("part_h")).distinct(), "pairs")
     members = members.withColumn("part_h", F.xxhash64("part"))
     sizes = members.join(pairs.select("part_h").distinct(), "part_h", "left_semi").groupBy("part", "part_h").count()
@@ -546,11 +569,14 @@ def text_links(lacking: DataFrame, members: DataFrame, share: float, turn_rows:
     found = None
     for t in range(turns):
         mine = F.pmod("part_h", F.lit(turns)) == t
-        lhs = spread.where(mine).select("id_h", "part", _bucket(total // turns)).groupBy("bucket", "id_h").agg(F.collect_set("part").alias("parts"))
-        lhs = lhs.join(lacking.withColumn("id_h", F.xxhash64("id")), "id_h").select("bucket", "id", "words", "parts")
+        asked = cut(spread.where(mine).select("id_h", "part", _bucket(total // turns)), "asked")
+        # Many records may ask one bucket: they are cut into slices, and its members go to each.
+        slices = cut(asked.groupBy("bucket").agg(F.ceil(F.countDistinct("id_h") / ASKERS).cast("int").alias("slices")), "slices")
+        lhs = asked.groupBy("bucket", "id_h").agg(F.collect_set("part").alias("parts")).join(slices, "bucket").withColumn("slice", F.pmod("id_h", "slices").cast("int"))
+        lhs = lhs.join(lacking.withColumn("id_h", F.xxhash64("id")), "id_h").select("bucket", "slice", "id", "words", "parts")
         rhs = members.where(mine).join(blocks.where(mine).drop("part_h"), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rhs = rhs.select(_bucket(total // turns), "part", "words")
-        links = lhs.groupBy("bucket").cogroup(rhs.groupBy("bucket")).applyInArrow(_shared_words(share), "a string, b string")
+        rhs = rhs.select(_bucket(total // turns), "part", "words").join(slices, "bucket").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        links = lhs.groupBy("bucket", "slice").cogroup(rhs.select("bucket", "slice", "part", "words").groupBy("bucket", "slice")).applyInArrow(_shared_words(share), "a string, b string")
         links = links if turns == 1 else cut(links.distinct(), "turn")
         found = links if found is None else found.unionByName(links)
     return found

@@ -200,6 +200,36 @@ def test_word_sets_in_turns_give_the_same_links(spark):
         assert any("taleweave-turn-" in path for _, path in shared._written[before:]) == (turn_rows == 5)
 
 
+def test_few_unlike_word_sets_are_compared_and_in_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [sorted(rng.choice(60, 30, replace=False).tolist()) for _ in range(200)]
+    lacking = spark.createDataFrame([(f"r{i:03d}", s[1:]) for i, s in enumerate(sets)], "id string, words array<long>")
+    members = spark.createDataFrame([(f"m{i:03d}", f"m{i:03d}", s) for i, s in enumerate(sets)], "id string, part string, words array<long>")
+    cut, shared_words, rows = clusters.cut, clusters._shared_words, {}
+
+    def counted(df, name):
+        out = cut(df, name)
+        rows[name] = out.count()
+        return out
+
+    def bounded(share):
+        go = shared_words(share)
+
+        def checked(key, left, right):
+            assert left.num_rows <= 48
+            return go(key, left, right)
+
+        return checked
+
+    monkeypatch.setattr(clusters, "ASKERS", 16)
+    monkeypatch.setattr(clusters, "PAIRS", 7)
+    monkeypatch.setattr(clusters, "cut", counted)
+    monkeypatch.setattr(clusters, "_shared_words", bounded)
+    got = {tuple(r) for r in clusters.text_links(lacking, members, 0.7).collect()}
+    assert got == {(f"r{i:03d}", f"m{j:03d}") for i, a in enumerate(sets) for j, b in enumerate(sets) if len({*a[1:]} & {*b}) >= 0.7 * len({*a[1:]} | {*b})}
+    assert 200 <= rows["pairs"] < 2_000  # of 40 000
+
+
 def test_clusters_leave_only_their_result_behind(spark):
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(5, 8)), 4, axis=0) + 0.01 * rng.normal(size=(20, 8))
