@@ -7,7 +7,7 @@ import pytest
 
 from taleweave.functions.links import canonical_certainty, canonical_link, link_key
 from taleweave.operators import hierarchy, history, orphans
-from taleweave.operators.betweenness import brandes, centrality, dependencies
+from taleweave.operators.betweenness import brandes, centrality, dependencies, placed, shares
 from taleweave.operators.components import components
 from pyspark.sql import functions as F
 
@@ -218,6 +218,29 @@ def test_a_search_of_a_large_graph_is_quick():
     assert got_near == near and np.allclose(got, total, rtol=1e-12, atol=1e-9)
 
 
+def test_a_search_takes_its_own_component_only(spark):
+    copies, n = 150, 600
+    one = hub_graph(n, random.Random(2))
+    adjacent = [[copies * w + i for w in one[v]] for v in range(n) for i in range(copies)]
+    starts, ends = as_arrays(adjacent)
+    order, *graph = placed(len(adjacent), np.repeat(np.arange(len(adjacent)), np.diff(starts)), ends)
+    sources = np.arange(0, len(adjacent), 1999)
+    began = time.thread_time()
+    total, near = dependencies(starts, ends, order[sources].tolist())
+    whole, began = time.thread_time() - began, time.thread_time()
+    at, some, got_near = shares(*graph, sources)
+    assert time.thread_time() - began < whole / 3
+    got = np.zeros(len(adjacent))
+    got[order[at]] = some
+    assert {int(order[s]): r for s, r in got_near.items()} == near and np.allclose(got, total, rtol=1e-12, atol=1e-9)
+
+    few = [(f"{v:02d}{i}", f"{w:02d}{i}") for i in range(3) for v, links in enumerate(hub_graph(20, random.Random(3))) for w in links]
+    found = {r.id: r.betweenness for r in centrality(spark.createDataFrame([(x,) for x in sorted({x for e in few for x in e})], "id string"), spark.createDataFrame(few, "in_id string, out_id string")).collect()}
+    names = sorted(found)
+    want = brandes([sorted(names.index(b) for a, b in few if a == x) for x in names], list(range(len(names))))[0]
+    assert [found[x] for x in names] == [round(x / (len(names) - 1) / (len(names) - 2), 9) for x in want]
+
+
 def test_centrality(spark):
     nodes = spark.createDataFrame([(x,) for x in ["a", "b", "c", "d", None, "a"]], "id string")
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("c", "gone"), (None, "a")], "in_id string, out_id string")
